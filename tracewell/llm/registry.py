@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licenses, mixing, passages, sharding, simhash, tokens, toxicity, webp
+from . import decontamination, licenses, mixing, passages, quality, sharding, simhash, tokens, toxicity, webp
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_shards": tokens.op4_token_shards,
         "op5_cnn": toxicity.op5_cnn,
         "op6_simhash_windows": decontamination.op6_simhash_windows,
+        "op7_random_indexing": quality.op7_random_indexing,
         "op8_unit_hashing": passages.op8_unit_hashing,
         "op9_budget_fitting": mixing.op9_budget_fitting,
         "op10_webp": webp.op10_webp,
