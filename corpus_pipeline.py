@@ -10,18 +10,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import common, mixing, sharding, simhash
+from tracewell.llm import common, decontamination, mixing, quality, sharding, simhash
 
 #: Fingerprints of this many differing bits still count as near copies; wider than the search operator's default, since a
 #: few changed words in a short text move more than four bits.
 NEAR_BITS = 7
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose calibrated quality is 0.3 or more."""
+    return quality.keep(docs, common.read(spark, sf_dir, "labels"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of exact and near copies stays, the one with the smallest doc_id."""
     return simhash.dedup(docs, radius=NEAR_BITS)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.clean(docs, common.read(spark, sf_dir, "benchmark"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice."""
     return mixing.mixed(docs)
@@ -33,7 +43,9 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", good),
     ("near-dedup", near_dedup),
+    ("decontamination", decontaminate),
     ("mixing", mix),
     ("sharding", shard),
 ]
