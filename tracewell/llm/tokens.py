@@ -29,11 +29,20 @@ END = 0
 #: UTF-8 bytes of text in a shard, about.
 SHARD_BYTES = 24 << 20
 #: Entries of an encoder's caches; they start anew beyond that.
-CACHE = 500_000
+UNITS, PIECES = 450_000, 200_000
 NULL_KEY = -(1 << 63)
 
-_UNSAFE = re.compile(r"\A | \Z|\s | \s")
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: White space other than the space and the line feed: in ASCII, and beyond.
+_ASCII_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_OTHER_SPACES = "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+
+
+def single_spaces(text: str) -> bool:
+    """Whether every space stands between two characters that aren't white space (texts with rarer white space: no)."""
+    if text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text:
+        return False
+    return not any(c in text for c in _ASCII_SPACES) and (text.isascii() or not any(c in text for c in _OTHER_SPACES))
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -64,27 +73,32 @@ class Encoder:
 
     def learn(self, units: set[str]) -> None:
         """Enters the ids of ' ' + unit for each."""
-        if len(self.units) + len(units) > CACHE:
+        if len(self.units) + len(units) > UNITS:
             self.units = {}
-        if len(self.pieces) > CACHE:
+        if len(self.pieces) > PIECES:
             self.pieces = {}
-        cut = {u: self.cut(" " + u) for u in units}
+        cut = {}
+        for u in units:
+            word = u.rstrip(".,;:!?")
+            # letters, then marks: the tokenizer's pattern cuts just between the two
+            cut[u] = ((f" {word}", u[len(word) :]) if len(word) < len(u) else (f" {word}",)) if word.isalpha() else self.cut(" " + u)
         new = list({p for c in cut.values() for p in c}.difference(self.pieces))
         for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             ids = e.ids
             self.pieces[piece] = struct.pack(f"<{len(ids)}H", *ids)
         at = self.pieces.__getitem__
         for u, c in cut.items():
-            self.units[u] = b"".join(map(at, c))
+            self.units[u] = at(c[0]) if len(c) == 1 else b"".join(map(at, c))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        for at in range(0, len(texts), 64):
-            split = [_SPACE.split(t) if _UNSAFE.search(t) else t.split(" ") for t in texts[at : at + 64]]
-            missing = {u for s in split for u in s[1:]}.difference(self.units)
+        for at in range(0, len(texts), 256):
+            split = [t.split(" ") if single_spaces(t) else _SPACE.split(t) for t in texts[at : at + 256]]
+            words = set().union(*split)
+            missing = words.difference(self.units)
             if missing:
-                if len(self.units) + len(missing) > CACHE:
-                    missing = {u for s in split for u in s[1:]}
+                if len(self.units) + len(missing) > UNITS:
+                    missing = words
                 self.learn(missing)
             known = self.units.__getitem__
             heads = self.tokenizer.encode_batch_fast([s[0] for s in split], add_special_tokens=False)
