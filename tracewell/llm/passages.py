@@ -1,7 +1,8 @@
 """Removal of repeated passages by hashing units.
 
-Lines are cut into sentences, and long sentences into chunks at words their own content picks, so that a passage falls
-into the same units whatever stands around it. Normalised units are digested, digests are grouped over all documents,
+Lines are cut into sentences, short sentences join the one before, and long units are cut at words their own content
+picks; where a cut falls depends on what is next to it alone, so that a passage falls into the same units whatever stands
+around it. Normalised units are digested, digests are grouped over all documents,
 the earliest occurrence (by doc_id, then offset) is kept, and runs of other occurrences are removed. Whole lines alone
 would miss passages that stand inside a line.
 """
@@ -20,8 +21,9 @@ from pyspark.sql.window import Window
 
 from . import common
 
-#: Sentences of more words than this are cut after words whose CRC-32 is a multiple of CHUNK.
-LONG, CHUNK = 16, 8
+#: Sentences of fewer words than SHORT join the one before in their line; units of more words than LONG are cut after
+#: words whose CRC-32 is a multiple of CHUNK.
+SHORT, LONG, CHUNK = 5, 16, 8
 #: A run of repeated units is removed from this many words on; a passage of 50 words holds such a run between its cut ends.
 RUN_WORDS = 16
 
@@ -31,37 +33,46 @@ _WORD = re.compile(r"\S+")
 
 def units(text: str) -> list[tuple[int, int, list[str]]]:
     """(start, end, lower-case words) of each unit of the text, in order; offsets count characters."""
-    out, at = [], 0
-    spans = [(m.start(), m.end()) for m in _BREAK.finditer(text)]
-    for start, after in [*spans, (len(text), len(text))]:
-        words = text[at:start].lower().split()
-        if len(words) > LONG:
-            begin, held = None, []
-            for m in _WORD.finditer(text, at, start):
-                begin = m.start() if begin is None else begin
-                held.append(m[0].lower())
-                if zlib.crc32(held[-1].encode("utf-8", "surrogatepass")) % CHUNK == 0 and len(held) > 2:
-                    out.append((begin, m.end(), held))
-                    begin, held = None, []
-            if held:
-                out.append((begin, start, held))
+    whole: list[tuple[int, int, list[str]]] = []
+    at, line_start = 0, True
+    for m in [*_BREAK.finditer(text), None]:
+        end, after = m.span() if m else (len(text), len(text))
+        words = text[at:end].lower().split()
+        if words and len(words) < SHORT and not line_start:
+            whole[-1] = (whole[-1][0], end, whole[-1][2] + words)
         elif words:
-            out.append((at, start, words))
+            whole.append((at, end, words))
+            line_start = False
+        if m and "\n" in m[0]:
+            line_start = True
         at = after
+    out = []
+    for start, end, words in whole:
+        if len(words) <= LONG:
+            out.append((start, end, words))
+            continue
+        begin, held = None, []
+        for m in _WORD.finditer(text, start, end):
+            begin = m.start() if begin is None else begin
+            held.append(m[0].lower())
+            if len(held) > 2 and zlib.crc32(held[-1].encode("utf-8", "surrogatepass")) % CHUNK == 0:
+                out.append((begin, m.end(), held))
+                begin, held = None, []
+        if held:
+            out.append((begin, end, held))
     return out
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "row", "unit", "start", "end", "words", "hi", "lo"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-    mask = (1 << 64) - 1
+    names = ["doc_id", "pos", "span", "words", "hash", "check"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
     for batch in batches:
         cols: list[list] = [[] for _ in names]
         for doc_id, row, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             for k, (start, end, words) in enumerate(units(text or "")):
                 d = xxhash.xxh3_128_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))
-                hi, lo = d >> 64, d & mask
-                for c, v in zip(cols, (doc_id, row, k, start, end, len(words), hi - (hi >> 63 << 64), lo - (lo >> 63 << 64)), strict=True):
+                h = d >> 64
+                for c, v in zip(cols, (doc_id, row << 32 | k, start << 32 | end, len(words), h - (h >> 63 << 64), d & 0x7FFFFFFF), strict=True):
                     c.append(v)
                 if len(cols[0]) >= 200_000:
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
@@ -69,20 +80,31 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
 
+def text_key() -> F.Column:
+    """31 bits that tell texts of one doc_id apart."""
+    return F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF).cast("long"))
+
+
 def repeats(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """Removed runs: (doc_id, row, start, end, words, kept_in), kept_in being the documents that keep the text.
 
     row is a hash of the text, which tells rows of one doc_id apart; rows that agree in both count as one document, so
     they are never removed in favour of each other. A null or empty text has no units. Null ids rank first. Repeats inside
     one document are removed too. Other columns are ignored.
+
+    Digests (95 bits) are first only counted, which sums up before the shuffle; units whose digest occurs once go no
+    further, and only the rest are ranked. pos packs row and unit, span packs start and end, to keep shuffles narrow.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text")
-    found = common.stored(rows.mapInArrow(_digest, "doc_id long, row long, unit int, start int, end int, words int, hi long, lo long"), "units")
-    rank = F.struct("doc_id", "row", "unit")
-    first = found.groupBy("hi", "lo").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("not (first <=> last)").drop("last")
-    again = found.join(first, ["hi", "lo"]).where(~F.col("first").eqNullSafe(rank)).select("doc_id", "row", "unit", "start", "end", "words", F.col("first.doc_id").alias("kept")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long"), text_key().alias("row"), "text")
+    found = common.stored(rows.mapInArrow(_digest, "doc_id long, pos long, span long, words int, hash long, check int"), "units")
+    often = found.groupBy("hash", "check").agg(F.count("*").alias("n")).where("n > 1").select("hash", "check")
+    again = common.stored(found.join(often, ["hash", "check"]), "repeated-units")
+    rank = F.struct("doc_id", "pos")
+    first = again.groupBy("hash", "check").agg(F.min(rank).alias("first"))
+    late = again.join(first, ["hash", "check"]).where(~F.col("first").eqNullSafe(rank)).select("doc_id", "pos", "span", "words", F.col("first.doc_id").alias("kept")).distinct()
+    late = late.select("doc_id", F.shiftright("pos", 32).alias("row"), F.col("pos").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int").alias("unit"), F.shiftright("span", 32).cast("int").alias("start"), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int").alias("end"), "words", "kept")
     order = Window.partitionBy("doc_id", "row").orderBy("unit")
-    runs = again.withColumn("island", F.col("unit") - F.row_number().over(order))
+    runs = late.withColumn("island", F.col("unit") - F.row_number().over(order))
     runs = runs.groupBy("doc_id", "row", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.sort_array(F.collect_set("kept")).alias("kept_in"))
     return runs.where(F.col("words") >= run_words).drop("island")
 
@@ -97,7 +119,7 @@ def spans(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
 def remove(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """docs without the repeated runs, with removed_spans (offsets in the original text; an empty array if there are none)."""
     cut = spans(docs, run_words).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("spans").alias("removed_spans"))
-    keyed = docs.drop("removed_spans").withColumn("__r", F.xxhash64("text"))
+    keyed = docs.drop("removed_spans").withColumn("__r", text_key())
     out = keyed.join(common.bounded(common.stored(cut, "spans")), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__r") == F.col("__row")), "left").drop("__id", "__row", "__r")
     none = F.array().cast("array<struct<start:int,end:int>>")
     out = out.withColumn("removed_spans", F.coalesce("removed_spans", none))
