@@ -2,20 +2,48 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import storage
 
 
-def reach(edges: DataFrame, start: DataFrame, direction: str = "down", depth: int | None = None, stop: DataFrame | None = None) -> DataFrame:
+#: Graphs of at most this many edges are walked in one go on the driver; the result is the same.
+SMALL_EDGES = 250_000
+
+
+def _few(edges: DataFrame, limit: int | None) -> list | None:
+    """The (src, dst) pairs if there are at most `limit`."""
+    limit = SMALL_EDGES if limit is None else limit
+    if not limit or edges.count() > limit:
+        return None
+    rows = edges.select("src", "dst").toPandas()
+    return list(zip(rows["src"], rows["dst"], strict=True))
+
+
+def reach(edges: DataFrame, start: DataFrame, direction: str = "down", depth: int | None = None, stop: DataFrame | None = None, small: int | None = None) -> DataFrame:
     """(node, distance): nodes within `depth` hops of the start nodes (one column, node), themselves included.
 
     down follows edges, up goes against them; depth None has no limit. Nodes in `stop` are reached but not left. A round
     joins the frontier, broadcast while it is small, with the edges, and drops visited nodes; cycles end by themselves.
+    Up to `small` edges (SMALL_EDGES by default) and without stop nodes the walk runs on the driver.
     """
     spark = edges.sparkSession
     a, b = ("src", "dst") if direction == "down" else ("dst", "src")
+    pairs = _few(edges, small) if stop is None else None
+    if pairs is not None:
+        after = defaultdict(list)
+        for s, t in pairs:
+            after[s if direction == "down" else t].append(t if direction == "down" else s)
+        seen = {r.node: 0 for r in start.select("node").distinct().limit(SMALL_EDGES).collect()}
+        front, at = list(seen), 0
+        while front and (depth is None or at < depth):
+            at += 1
+            front = [n for n in dict.fromkeys(n for f in front for n in after[f]) if n not in seen]
+            seen |= dict.fromkeys(front, at)
+        return spark.createDataFrame(list(seen.items()), "node string, distance int")
     hops = edges.select(F.col(a).alias("node"), F.col(b).alias("next"))
     levels = storage.Levels(spark, "node string, distance int", "reach")
     frontier, n = levels.add(start.select("node", F.lit(0).alias("distance")).distinct())
@@ -34,12 +62,67 @@ def window(edges: DataFrame, focus: DataFrame, up: int | None, down: int | None)
     return reach(edges, focus, "up", up).select("node").union(reach(edges, focus, "down", down).select("node")).distinct()
 
 
-def layers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def reach_pairs(edges: DataFrame, roots: DataFrame, direction: str = "up", small: int | None = None) -> DataFrame:
+    """(root, node, distance) for every root (one column, node) and every node it reaches, itself at 0.
+
+    Grows with the pairs it returns: one join a round for all roots together. Up to `small` edges, it is done on the driver.
+    """
+    spark = edges.sparkSession
+    a, b = ("src", "dst") if direction == "down" else ("dst", "src")
+    schema = "root string, node string, distance int"
+    pairs = _few(edges, small)
+    if pairs is not None:
+        after = defaultdict(list)
+        for s, t in pairs:
+            after[s if direction == "down" else t].append(t if direction == "down" else s)
+        out = []
+        for (root,) in roots.select("node").distinct().limit(SMALL_EDGES).collect():
+            seen, front, at = {root: 0}, [root], 0
+            while front:
+                at += 1
+                front = [n for n in dict.fromkeys(n for f in front for n in after[f]) if n not in seen]
+                seen |= dict.fromkeys(front, at)
+            out += [(root, n, d) for n, d in seen.items()]
+        return spark.createDataFrame(out, schema)
+    hops = edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct()
+    levels = storage.Levels(spark, schema, "pairs")
+    front, n = levels.add(roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("distance")).distinct())
+    at = 0
+    while n:
+        at += 1
+        found = front.join(hops, "node").select("root", F.col("next").alias("node")).distinct()
+        found = found.join(levels.all().select("root", "node"), ["root", "node"], "left_anti")
+        front, n = levels.add(found.select("root", "node", F.lit(at).alias("distance")))
+    return levels.all()
+
+
+def layers(edges: DataFrame, nodes: DataFrame, small: int | None = None) -> DataFrame:
     """(node, layer): the longest path from a root; layers of nodes on or after a cycle are null.
 
     A round takes off the nodes that nothing left points to. nodes has one column, node.
     """
     spark = edges.sparkSession
+    pairs = _few(edges, small)
+    if pairs is not None and nodes.count() <= SMALL_EDGES:
+        todo, after = {r.node: 0 for r in nodes.collect()}, defaultdict(set)
+        for s, t in pairs:
+            after[s].add(t)
+        for ts in after.values():
+            for t in ts:
+                if t in todo:
+                    todo[t] += 1
+        front, got, at = [n for n, k in todo.items() if not k], {}, 0
+        while front:
+            got |= dict.fromkeys(front, at)
+            nxt = []
+            for n in front:
+                for t in after[n]:
+                    if t in todo:
+                        todo[t] -= 1
+                        if not todo[t]:
+                            nxt.append(t)
+            front, at = nxt, at + 1
+        return spark.createDataFrame([(n, got.get(n)) for n in todo], "node string, layer int")
     left = storage.stored(edges.select("src", "dst").distinct(), "layer-edges")
     rest = storage.stored(nodes.select("node").distinct(), "layer-nodes")
     out = storage.Levels(spark, "node string, layer int", "layers")

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.plans import graph_queries
+from tracewell.plans import column_queries, graph_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(graph_queries.QUERIES)
+    return graph_queries.QUERIES | column_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(graph_queries.ORACLES)
+    return graph_queries.ORACLES | column_queries.ORACLES
