@@ -45,28 +45,33 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float =
 
 
 def knapsack(lengths: Sequence[int], counts: Sequence[int], budget: int) -> list[int]:
-    """How many of each length to take, at most counts, so that the total comes as near below budget as it can.
+    """How many of each length to take, at most counts, so that the total comes as near to budget as it can, below it if two are.
 
     Sums reachable with the first i lengths are the bits of one integer; for each sum the first length that reached it
-    is kept, from which the choice is read back.
+    is kept, from which the choice is read back. Sums of more than budget and the longest length are never the nearest.
     """
-    reach, full = 1, (1 << (budget + 1)) - 1
-    first = np.full(budget + 1, -1, dtype=np.int32)
+    most = budget + max((s for s, n in zip(lengths, counts, strict=True) if n), default=0)
+    reach, full = 1, (1 << (most + 1)) - 1
+    first = np.full(most + 1, -1, dtype=np.int32)
     first[0] = 0
     for i, (size, n) in enumerate(zip(lengths, counts, strict=True)):
         if reach == full:
             break
-        after, left, step = reach, min(n, budget // size), 1
+        after, left, step = reach, min(n, most // size), 1
         while left > 0:
             take = min(step, left)
             after |= (after << (take * size)) & full
             left -= take
             step *= 2
         if new := after & ~reach:
-            bits = np.unpackbits(np.frombuffer(new.to_bytes(budget // 8 + 1, "little"), dtype=np.uint8), bitorder="little")[: budget + 1]
+            bits = np.unpackbits(np.frombuffer(new.to_bytes(most // 8 + 1, "little"), dtype=np.uint8), bitorder="little")[: most + 1]
             first[bits.astype(bool)] = i
         reach = after
-    taken, at = [0] * len(lengths), reach.bit_length() - 1
+    below = (reach & ((1 << (budget + 1)) - 1)).bit_length() - 1
+    above = reach >> (budget + 1)
+    above = budget + (above & -above).bit_length() if above else below
+    at = above if above - budget < budget - below and above > budget else below
+    taken = [0] * len(lengths)
     while at:
         i = first[at]
         while at and first[at] == i:  # sums first reached by i come from one that an earlier length reached
@@ -93,7 +98,7 @@ def fit(lengths: Sequence[int], counts: Sequence[int], target: float, dp_words:
         taken[i] += k
         left -= k * lengths[i]
     if left > 0:
-        open_ = [i for i in range(len(lengths)) if taken[i] < counts[i] and lengths[i] <= left]
+        open_ = [i for i in range(len(lengths)) if taken[i] < counts[i] and lengths[i] <= 2 * left]
         for i, k in zip(open_, knapsack([lengths[i] for i in open_], [counts[i] - taken[i] for i in open_], left), strict=True):
             taken[i] += k
     return copies, taken
