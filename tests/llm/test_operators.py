@@ -211,9 +211,9 @@ def test_cluster(spark):
 
 
 def test_components_of_chains(spark):
-    pairs = [(i, i + 1) for i in range(1, 200)] + [(500, 400), (400, 450), (7, 7)]
+    pairs = [(i, i + 1) for i in range(1, 40)] + [(500, 400), (400, 450), (7, 7)]
     got = {r.node: r.component for r in common.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
-    assert got == {**{i: 1 for i in range(1, 201)}, 400: 400, 450: 400, 500: 400}
+    assert got == {**{i: 1 for i in range(1, 41)}, 400: 400, 450: 400, 500: 400}
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
