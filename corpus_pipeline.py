@@ -10,11 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import common, decontamination, mixing, quality, sharding, simhash
-
-#: Fingerprints of this many differing bits still count as near copies; wider than the search operator's default, since a
-#: few changed words in a short text move more than four bits.
-NEAR_BITS = 7
+from tracewell.llm import common, decontamination, mixing, neardup, quality, sharding
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +19,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact and near copies stays, the one with the smallest doc_id."""
-    return simhash.dedup(docs, radius=NEAR_BITS)
+    """One document of each group of exact and near copies (five-word shingles 0.8 alike) stays, the one with the smallest doc_id."""
+    return neardup.dedup(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -323,7 +323,11 @@ def dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFram
 
     Rows that repeat a doc_id are one document, of which any one row stays; rows without a doc_id all stay.
     """
-    out = cluster(docs, words, radius)
+    return one_of_each(docs, cluster(docs, words, radius))
+
+
+def one_of_each(docs: DataFrame, out: DataFrame) -> DataFrame:
+    """The rows of docs that dedup keeps, out being (doc_id, component_id) for every row."""
     gone = common.stored(out.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
     twice = common.stored(out.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     kept = docs.join(common.bounded(gone), "doc_id", "left_anti").select(*docs.columns)
