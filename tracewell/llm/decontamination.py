@@ -1,13 +1,13 @@
 """Benchmark decontamination by SimHash over item-sized windows, with Spark functions only.
 
 Windows as long as a benchmark item are laid over a text wherever a shingle it shares with the item puts the item's
-beginning. Windows and items get SimHash fingerprints of their weighted shingles; a multi-index over blocks of the
-fingerprints finds all items of the window's length within the radius, and the weighted Jaccard similarity of the
+beginning; where that reaches beyond the text, a window is both cut at the text's end and moved back inside. Windows and items get SimHash fingerprints of their weighted shingles; a multi-index over blocks of the
+fingerprints finds all items of the length the window was laid for within the radius, and the weighted Jaccard similarity of the
 shingles, each weighing as often as it occurs, decides.
 
-Only every `stride`-th shingle of a text is looked up. That loses nothing: with similarity s, at most a share of
-(1 - s) / (1 + s) of an item's n shingles is missing from the window, and the stride is chosen for the items at hand so
-that any n shingles in a row hold more looked-up ones than that.
+Only every `stride`-th shingle of a text is looked up. That loses nothing: with similarity s, at most (m - s n) / (1 + s)
+of a window's m shingles are missing from an item of n, and the stride is chosen for the items at hand so that any m
+shingles in a row hold more looked-up ones than that.
 """
 
 from __future__ import annotations
@@ -47,10 +47,10 @@ def shingles(words: F.Column, length: int = WORDS) -> F.Column:
 
 
 def stride_for(counts: list[int], similarity: float = SIMILARITY, most: int = MAX_STRIDE) -> int:
-    """The largest stride with which n shingles in a row always hold more looked-up ones than may be missing, for every n in counts."""
+    """The largest stride with which a window's shingles always hold more looked-up ones than may be missing from the item, for every n in counts."""
     for stride in range(most, 1, -1):
-        # both sides have n shingles: m shared ones give m / (2n - m) >= s, so n - m <= n (1 - s) / (1 + s)
-        if all(n // stride > math.floor(n * (1 - similarity) / (1 + similarity) + 1e-9) for n in counts):
+        # c of the window's m <= n shingles are shared: c / (n + m - c) >= s, so m - c <= (m - s n) / (1 + s)
+        if all(m // stride > math.floor((m - similarity * n) / (1 + similarity) + 1e-9) for n in counts for m in range(math.ceil(similarity * n - 1e-9), n + 1)):
             return stride
     return 1
 
@@ -107,10 +107,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     for part in range(parts):
         some = anchors if parts == 1 else anchors.where(F.pmod(F.xxhash64("hash", F.lit(7)), F.lit(parts)) == part)
         hit = texts.join(F.broadcast(some), "hash").select("doc_id", "words", "i", F.explode("places").alias("p"))
-        start = F.greatest(F.col("i") - F.col("p.at"), F.lit(1))
-        hit = hit.select("doc_id", F.col("p.n").alias("n"), (start - 1).alias("start"), F.slice("words", start, F.col("p.n")).alias("window"))
+        begin, end = F.col("i") - F.col("p.at"), F.col("i") - F.col("p.at") + F.col("p.n") - 1
+        moved = F.greatest(F.least(begin, F.size("words") - F.col("p.n") + 1), F.lit(1))
+        # a window beyond the text's ends is taken both cut there and moved inside; within the text the two are one
+        ways = F.array_distinct(F.array(*[F.struct(x.alias("start"), y.alias("end")) for x, y in ((F.greatest(begin, F.lit(1)), F.least(end, F.size("words"))), (moved, F.least(moved + F.col("p.n") - 1, F.size("words"))))]))
+        hit = hit.select("doc_id", "words", F.col("p.n").alias("n"), F.explode(ways).alias("x"))
+        hit = hit.select("doc_id", "n", (F.col("x.start") - 1).alias("start"), F.slice("words", F.col("x.start"), F.col("x.end") - F.col("x.start") + 1).alias("window"))
         windows = hit if windows is None else windows.unionByName(hit)
-    windows = windows.where(F.size("window") == F.col("n")).distinct()
+    # what is shorter than an item by more than the similarity allows can't be near it
+    fits = F.size("window") - (WORDS - 1) >= F.lit(similarity) * (F.col("n") - (WORDS - 1)) - 1e-9
+    windows = windows.where(fits).distinct()
     windows = windows.select("doc_id", "n", "start", shingles(F.col("window")).alias("hashes"))
     windows = common.stored(windows.select("doc_id", "n", "start", tagged(F.col("hashes")).alias("wtags"), simhash(F.col("hashes")).alias("wfp")), "windows")
     width = 64 // BLOCKS
