@@ -23,21 +23,28 @@ def _few(edges: DataFrame, limit: int | None) -> list | None:
     return list(zip(rows["src"], rows["dst"], strict=True))
 
 
+def _few_nodes(nodes: DataFrame) -> list[str] | None:
+    """The distinct nodes if there are at most SMALL_EDGES."""
+    rows = nodes.select("node").distinct().limit(SMALL_EDGES + 1).collect()
+    return [r.node for r in rows] if len(rows) <= SMALL_EDGES else None
+
+
 def reach(edges: DataFrame, start: DataFrame, direction: str = "down", depth: int | None = None, stop: DataFrame | None = None, small: int | None = None) -> DataFrame:
     """(node, distance): nodes within `depth` hops of the start nodes (one column, node), themselves included.
 
     down follows edges, up goes against them; depth None has no limit. Nodes in `stop` are reached but not left. A round
     joins the frontier, broadcast while it is small, with the edges, and drops visited nodes; cycles end by themselves.
-    Up to `small` edges (SMALL_EDGES by default) and without stop nodes the walk runs on the driver.
+    Up to `small` edges (SMALL_EDGES by default), SMALL_EDGES start nodes and without stop nodes the walk runs on the driver.
     """
     spark = edges.sparkSession
     a, b = ("src", "dst") if direction == "down" else ("dst", "src")
     pairs = _few(edges, small) if stop is None else None
-    if pairs is not None:
+    first = _few_nodes(start) if pairs is not None else None
+    if first is not None:
         after = defaultdict(list)
         for s, t in pairs:
             after[s if direction == "down" else t].append(t if direction == "down" else s)
-        seen = {r.node: 0 for r in start.select("node").distinct().limit(SMALL_EDGES).collect()}
+        seen = dict.fromkeys(first, 0)
         front, at = list(seen), 0
         while front and (depth is None or at < depth):
             at += 1
@@ -65,18 +72,19 @@ def window(edges: DataFrame, focus: DataFrame, up: int | None, down: int | None)
 def reach_pairs(edges: DataFrame, roots: DataFrame, direction: str = "up", small: int | None = None) -> DataFrame:
     """(root, node, distance) for every root (one column, node) and every node it reaches, itself at 0.
 
-    Grows with the pairs it returns: one join a round for all roots together. Up to `small` edges, it is done on the driver.
+    Grows with the pairs it returns: one join a round for all roots together. Up to `small` edges and SMALL_EDGES roots, it is done on the driver.
     """
     spark = edges.sparkSession
     a, b = ("src", "dst") if direction == "down" else ("dst", "src")
     schema = "root string, node string, distance int"
     pairs = _few(edges, small)
-    if pairs is not None:
+    first = _few_nodes(roots) if pairs is not None else None
+    if first is not None:
         after = defaultdict(list)
         for s, t in pairs:
             after[s if direction == "down" else t].append(t if direction == "down" else s)
         out = []
-        for (root,) in roots.select("node").distinct().limit(SMALL_EDGES).collect():
+        for root in first:
             seen, front, at = {root: 0}, [root], 0
             while front:
                 at += 1
