@@ -1,10 +1,11 @@
 """Removal of repeated passages by hashing units.
 
-Lines are cut into sentences, short sentences join the one before, and long units are cut at words their own content
-picks; where a cut falls depends on what is next to it alone, so that a passage falls into the same units whatever stands
-around it. Normalised units are digested, digests are grouped over all documents,
-the earliest occurrence (by doc_id, then offset) is kept, and runs of other occurrences are removed. Whole lines alone
-would miss passages that stand inside a line.
+Two kinds of unit are digested: whole lines, and pieces of lines. Lines are cut into sentences, short sentences join the
+one before, and long units are cut at words their own content picks: after the word with the least hash of every WINDOW
+words in a row, so that cuts are never more than WINDOW words apart. Where a cut falls depends on what is near it alone, so
+that a passage falls into the same units whatever stands around it. Digests are grouped over all documents, the earliest
+occurrence (by doc_id, then offset) is kept, and others are removed: whole lines of any length, pieces in runs of RUN_WORDS
+words. Whole lines alone would miss passages that stand inside a line.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ from pyspark.sql.window import Window
 
 from . import common
 
-#: Sentences of fewer words than SHORT join the one before in their line; units of more words than LONG are cut after
-#: words whose CRC-32 is a multiple of CHUNK.
-SHORT, LONG, CHUNK = 5, 16, 8
-#: A run of repeated units is removed from this many words on; a passage of 50 words holds such a run between its cut ends.
+#: Sentences of fewer words than SHORT join the one before in their line; units of more words than LONG are cut after the
+#: word with the least CRC-32 (the last of equals) of every WINDOW words in a row.
+SHORT, LONG, WINDOW = 5, 14, 8
+#: A run of repeated pieces is removed from this many words on. A passage of 50 words holds one: at its beginning at most
+#: max(LONG, 2 WINDOW - 1) = 15 words fall into pieces that its surroundings bear on, at its end SHORT - 1 more.
 RUN_WORDS = 16
 
 _BREAK = re.compile(r"(?<=[.!?])[ \t\r\f\v]+|[ \t\r\f\v]*\n\s*")
@@ -51,15 +53,14 @@ def units(text: str) -> list[tuple[int, int, list[str]]]:
         if len(words) <= LONG:
             out.append((start, end, words))
             continue
-        begin, held = None, []
-        for m in _WORD.finditer(text, start, end):
-            begin = m.start() if begin is None else begin
-            held.append(m[0].lower())
-            if len(held) > 2 and zlib.crc32(held[-1].encode("utf-8", "surrogatepass")) % CHUNK == 0:
-                out.append((begin, m.end(), held))
-                begin, held = None, []
-        if held:
-            out.append((begin, end, held))
+        found = [(m.start(), m.end(), m[0].lower()) for m in _WORD.finditer(text, start, end)]
+        crc = [zlib.crc32(w.encode("utf-8", "surrogatepass")) for _, _, w in found]
+        ranks = [(c, -k) for k, c in enumerate(crc)]
+        cuts = sorted({-min(ranks[k : k + WINDOW])[1] + 1 for k in range(len(ranks) - WINDOW + 1)} | {len(found)})
+        begin = 0
+        for cut in cuts:
+            out.append((found[begin][0], found[cut - 1][1], [w for _, _, w in found[begin:cut]]))
+            begin = cut
     return out
 
 
