@@ -14,6 +14,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,15 @@ _BREAK = re.compile(r"(?<=[.!?])[ \t\r\f\v]+|[ \t\r\f\v]*\n\s*")
 _WORD = re.compile(r"\S+")
 
 
+def lines(text: str, found: list[tuple[int, int, list[str]]]) -> Iterator[tuple[int, int]]:
+    """(first unit, number of units) of each line that has words, found being the text's units."""
+    first = 0
+    for k in range(1, len(found) + 1):
+        if k == len(found) or "\n" in text[found[k - 1][1] : found[k][0]]:
+            yield first, k - first
+            first = k
+
+
 def units(text: str) -> list[tuple[int, int, list[str]]]:
     """(start, end, lower-case words) of each unit of the text, in order; offsets count characters."""
     whole: list[tuple[int, int, list[str]]] = []
@@ -64,21 +74,52 @@ def units(text: str) -> list[tuple[int, int, list[str]]]:
     return out
 
 
+_NAMES = ["doc_id", "pos", "span", "words", "covers", "hash", "check"]
+_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "pos", "span", "words", "hash", "check"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
+    """Rows of all pieces, and of lines of several pieces from their first on; covers is how many pieces a whole line has, 0 for a piece of one."""
     for batch in batches:
-        cols: list[list] = [[] for _ in names]
+        cols: list[list] = [[] for _ in _NAMES]
         for doc_id, row, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            for k, (start, end, words) in enumerate(units(text or "")):
-                d = xxhash.xxh3_128_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))
+            found = units(text or "")
+            rows = [(k, start, end, words, 0, " ".join(words)) for k, (start, end, words) in enumerate(found)]
+            for k, n in lines(text or "", found):
+                words = [w for _, _, ws in found[k : k + n] for w in ws]
+                if n == 1:
+                    rows[k] = (*rows[k][:4], 1, rows[k][5])
+                else:
+                    rows.append((k, found[k][0], found[k + n - 1][1], words, n, "\n" + " ".join(words)))
+            for k, start, end, words, covers, key in rows:
+                d = xxhash.xxh3_128_intdigest(key.encode("utf-8", "surrogatepass"))
                 h = d >> 64
-                for c, v in zip(cols, (doc_id, row << 32 | k, start << 32 | end, len(words), h - (h >> 63 << 64), d & 0x7FFFFFFF), strict=True):
+                for c, v in zip(cols, (doc_id, row << 32 | k, start << 32 | end, len(words), covers, h - (h >> 63 << 64), d & 0x7FFFFFFF), strict=True):
                     c.append(v)
-                if len(cols[0]) >= 200_000:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
-                    cols = [[] for _ in names]
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+            if len(cols[0]) >= 200_000:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], names=_NAMES)
+                cols = [[] for _ in _NAMES]
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], names=_NAMES)
+
+
+def _late(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in the order of digest, doc_id and pos: all but each digest's first occurrence, with its doc_id as kept."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        doc, pos, span, words, covers, h, check = (batch.column(c) for c in _NAMES)
+        null, ids = doc.is_null().to_numpy(zero_copy_only=False), doc.fill_null(0).to_numpy()
+        pos, h, check = pos.to_numpy(), h.to_numpy(), check.to_numpy()
+        new = np.concatenate(([last is None or last[:2] != (h[0], check[0])], (h[1:] != h[:-1]) | (check[1:] != check[:-1])))
+        at = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
+        before = at < 0  # these belong to the digest that the batch before ended in
+        first = [np.where(before, last[k] if last else 0, x[at]) for k, x in ((2, null), (3, ids), (4, pos))]
+        late = (first[0] != null) | (first[1] != ids) | (first[2] != pos)
+        last = (h[-1], check[-1], first[0][-1], first[1][-1], first[2][-1])
+        keep = pa.array(late)
+        kept = pa.array(first[1][late], pa.int64(), mask=first[0][late].astype(bool))
+        yield pa.record_batch([*(batch.column(c).filter(keep) for c in _NAMES[:5]), kept], names=[*_NAMES[:5], "kept"])
 
 
 def text_key() -> F.Column:
@@ -93,21 +134,25 @@ def repeats(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     they are never removed in favour of each other. A null or empty text has no units. Null ids rank first. Repeats inside
     one document are removed too. Other columns are ignored.
 
-    Digests (95 bits) are first only counted, which sums up before the shuffle; units whose digest occurs once go no
-    further, and only the rest are ranked. pos packs row and unit, span packs start and end, to keep shuffles narrow.
+    Digests have 95 bits. All are dealt out once, and only later occurrences come back, so that nothing is stored on the
+    way. pos packs row and unit, span packs start and end, to keep the shuffle narrow.
     """
     rows = docs.select(F.col("doc_id").cast("long"), text_key().alias("row"), "text")
-    found = common.stored(rows.mapInArrow(_digest, "doc_id long, pos long, span long, words int, hash long, check int"), "units")
-    often = found.groupBy("hash", "check").agg(F.count("*").alias("n")).where("n > 1").select("hash", "check")
-    again = common.stored(found.join(often, ["hash", "check"]), "repeated-units")
-    rank = F.struct("doc_id", "pos")
-    first = again.groupBy("hash", "check").agg(F.min(rank).alias("first"))
-    late = again.join(first, ["hash", "check"]).where(~F.col("first").eqNullSafe(rank)).select("doc_id", "pos", "span", "words", F.col("first.doc_id").alias("kept")).distinct()
-    late = late.select("doc_id", F.shiftright("pos", 32).alias("row"), F.col("pos").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int").alias("unit"), F.shiftright("span", 32).cast("int").alias("start"), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int").alias("end"), "words", "kept")
+    found = rows.mapInArrow(_digest, "doc_id long, pos long, span long, words int, covers int, hash long, check int")
+    dealt = found.repartition("hash", "check").sortWithinPartitions("hash", "check", F.asc_nulls_first("doc_id"), "pos")
+    late = common.stored(dealt.mapInArrow(_late, "doc_id long, pos long, span long, words int, covers int, kept long"), "late-units")
+    # a whole line stands for each of its pieces, its words being counted at the first
+    late = late.withColumn("k", F.explode(F.sequence(F.lit(0), F.greatest("covers", F.lit(1)) - 1)))
+    row, unit = F.shiftright("pos", 32), F.col("pos").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int") + F.col("k")
+    start, end = F.shiftright("span", 32).cast("int"), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int")
+    late = late.select("doc_id", row.alias("row"), unit.alias("unit"), F.struct("covers", start.alias("start"), end.alias("end"), F.when(F.col("k") == 0, F.col("words")).otherwise(0).alias("words"), "kept").alias("x"))
+    late = late.groupBy("doc_id", "row", "unit").agg(F.max("x").alias("x")).select("doc_id", "row", "unit", "x.*")
     order = Window.partitionBy("doc_id", "row").orderBy("unit")
     runs = late.withColumn("island", F.col("unit") - F.row_number().over(order))
+    runs = runs.withColumn("run", F.sum("words").over(Window.partitionBy("doc_id", "row", "island"))).where((F.col("covers") > 0) | (F.col("run") >= run_words))
+    runs = runs.withColumn("island", F.col("unit") - F.row_number().over(order))
     runs = runs.groupBy("doc_id", "row", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.sort_array(F.collect_set("kept")).alias("kept_in"))
-    return runs.where(F.col("words") >= run_words).drop("island")
+    return runs.drop("island")
 
 
 def spans(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
