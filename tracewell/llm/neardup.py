@@ -2,7 +2,8 @@
 
 Candidates come from prefix filtering: with shingles in one order over all texts, two sets of similarity s share one of
 the first n - ceil(s n) + 1 shingles of each. Any order will do; shingles that are common in a sample of the texts come
-last, so that few texts share a prefix shingle without being alike. Candidates are verified by their exact similarity.
+last, so that few texts share a prefix shingle without being alike. Candidates whose counts of shingles
+in parts of the hashes allow the similarity are verified by their exact one.
 
 Of texts that share a common prefix shingle, and are many, not all pairs are verified: texts already linked to one
 another need not be. A few rounds compare each with one of them, and then all that are still apart are compared.
@@ -25,6 +26,8 @@ WORDS, SIMILARITY = 5, 0.8
 RUN, ROUNDS = 64, 3
 #: Texts sampled for common shingles, and how many of those are told apart; both only bear on speed.
 SAMPLE, COMMON = 4_000, 50_000
+#: Parts of the hashes whose shingles are counted; the counts bound what two sets have in common, however they fall.
+PARTS = 128
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -63,7 +66,7 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def _prefixes(often: np.ndarray, counts: np.ndarray, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, keys = [], [], []
+            ids, sizes, keys, counted = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text)
                 ids.append(set_id(s))
@@ -73,8 +76,9 @@ def _prefixes(often: np.ndarray, counts: np.ndarray, similarity: float):
                     at = np.minimum(np.searchsorted(often, s), len(often) - 1)
                     weight = np.where(often[at] == s, counts[at], 0)
                 first = len(s) - least_common(len(s), similarity) + 1 if len(s) else 0
+                counted.append(np.minimum(np.bincount((s % PARTS).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes())
                 keys.append(s[np.lexsort((s, weight))[:first]].view(np.int64))
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "h", "sid", "n", "keys"])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(counted, pa.binary())], names=["doc_id", "h", "sid", "n", "keys", "counts"])
 
     return run
 
@@ -118,6 +122,20 @@ def _pairs(similarity: float, most: int):
     return run
 
 
+def _possible(similarity: float):
+    """The pairs whose counts allow the similarity; a count of 255 stands for any more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, PARTS) for c in ("x", "y"))
+            most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+            both = batch.column("nx").to_numpy().astype(np.int64) + batch.column("ny").to_numpy()
+            ok = (most * (1 + similarity) >= similarity * both - 1e-6) | ((x == 255) & (y == 255)).any(axis=1)
+            yield pa.record_batch([batch.column(c).filter(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
+
+    return run
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingle_set(t).view(np.int64) for t in batch.column(1).to_pylist()]
@@ -131,18 +149,22 @@ def cluster(docs: DataFrame, similarity: float = SIMILARITY, most: int = RUN) ->
     wordless texts are alike. component_id is null if no row of the component has a doc_id.
     """
     keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
-    rows = common.stored(keyed.mapInArrow(_prefixes(*common_shingles(keyed), similarity), "doc_id long, h long, sid long, n int, keys array<long>"), "prefixes")
+    rows = common.stored(keyed.mapInArrow(_prefixes(*common_shingles(keyed), similarity), "doc_id long, h long, sid long, n int, keys array<long>, counts binary"), "prefixes")
     keys = rows.dropDuplicates(["sid"]).select(F.explode("keys").alias("key"), "n", "sid")
     found = common.stored(keys.repartition("key").sortWithinPartitions("key", "n", "sid").mapInArrow(_pairs(similarity, most), "a long, b long, key long, n int"), "candidates")
     many = found.where("b is null").select("key", F.col("a").alias("sid"), "n")
     pairs = found.where("b is not null").select("a", "b").distinct()
-    # hashes are computed again for the texts in pairs rather than kept for all: one row of each set, told by id and text
-    wanted = found.select(F.explode(F.array("a", "b")).alias("sid")).where("sid is not null").distinct()
-    some = common.stored(rows.select("sid", "doc_id", "h").join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "h")).alias("r")).select("sid", F.col("r.doc_id").alias("id"), F.col("r.h").alias("want")), "wanted")
-    texts = keyed.join(common.bounded(some), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("want"))).select("sid", "text")
-    sets = common.stored(texts.mapInArrow(_sets, "sid long, hashes array<long>").dropDuplicates(["sid"]), "sets")
+    counts = common.stored(rows.dropDuplicates(["sid"]).select("sid", "n", "counts"), "counts")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        x, y = counts.select(F.col("sid").alias("a"), F.col("n").alias("nx"), F.col("counts").alias("x")), counts.select(F.col("sid").alias("b"), F.col("n").alias("ny"), F.col("counts").alias("y"))
+        pairs = common.stored(pairs.join(x, "a").join(y, "b").mapInArrow(_possible(similarity), "a long, b long"), "possible")
+        # hashes are computed again for the texts in these pairs rather than kept for all: one row of each set, told by id and text
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        some = rows.select("sid", "doc_id", "h").join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "h")).alias("r"))
+        some = common.stored(some.select("sid", F.col("r.doc_id").alias("id"), F.col("r.h").alias("want")), "wanted")
+        texts = keyed.join(common.bounded(some), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("want"))).select("sid", "text")
+        sets = common.stored(texts.mapInArrow(_sets, "sid long, hashes array<long>").dropDuplicates(["sid"]), "sets")
         left, right = sets.select(F.col("sid").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("sid").alias("b"), F.col("hashes").alias("y"))
         both = pairs.join(left, "a").join(right, "b").withColumn("k", F.size(F.array_intersect("x", "y")))
         return common.stored(both.where(F.col("k") >= F.lit(similarity) * (F.size("x") + F.size("y") - F.col("k")) - 1e-9).select("a", "b"), "near")
