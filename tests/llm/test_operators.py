@@ -223,7 +223,7 @@ def test_components_of_chains(spark):
 def test_tokens(spark, tmp_path):
     from tokenizers import Tokenizer
 
-    data = rows() + [(200, " a  b \n\n c\t ", "a"), (201, "don't x's   y", "a"), (-5, "neg", "a")]
+    data = rows() + [(200, " a  b \n\n c\t ", "a"), (201, "don't x's   y", "a"), (-5, "neg", "a"), (-(1 << 63), "least", "a"), ((1 << 63) - 1, "greatest", "a"), (202, "a <|endoftext|> b, c", "a"), (203, "x\x00, y", "a")]
     path = str(tmp_path / "shards")
     tokens.write(table(spark, data), path, shard_bytes=20_000)
     got = sorted(tokens.scan(spark, path).collect(), key=lambda r: r.start)
@@ -238,6 +238,7 @@ def test_tokens(spark, tmp_path):
         found = sorted(d.tolist() for s in opened for d in s.get(key))
         assert found == sorted(want[i, x].tolist() for i, x, _ in data if i == key)
     assert not any(s.get(k) for s in opened for k in range(5000, 7000))
+    assert sum(50256 in d.tolist() for s in opened for d in s.get(202)) == 1
     empty = str(tmp_path / "none")
     tokens.write(table(spark, []), empty)
     assert tokens.scan(spark, empty).count() == 0
@@ -247,9 +248,11 @@ def test_encoder_caches_restart(monkeypatch):
     from tokenizers import Tokenizer
 
     monkeypatch.setattr(tokens, "UNITS", 50)
-    monkeypatch.setattr(tokens, "PIECES", 20)
     t, e = Tokenizer.from_file(tokens.tokenizer_path()), tokens.Encoder(tokens.tokenizer_path())
     texts = [text(i, 40) + ". It's, (so)!" for i in range(600)]
+    alphabet = ["a", "b", "Z", "é", "1", " ", " ", "  ", "\n", ".", ",", "'s", "\x00", "<|endoftext|>", "_", "漢", "\u0301", "\xa0", "\t", "?", "Ġ", "the", "\u2026", "²", "\x1c", "🙂"]
+    rng = np.random.default_rng(8)
+    texts += ["".join(alphabet[k] for k in rng.integers(0, len(alphabet), rng.integers(0, 15))) for _ in range(5000)]
     assert [np.frombuffer(b, dtype="<u2").tolist() for b in e.encode(texts)] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
 
 

@@ -17,7 +17,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,9 +27,10 @@ MAGIC = b"TWTOKEN1"
 END = 0
 #: UTF-8 bytes of text in a shard, about.
 SHARD_BYTES = 24 << 20
-#: Entries of an encoder's caches; they start anew beyond that.
-UNITS, PIECES = 450_000, 200_000
-NULL_KEY = -(1 << 63)
+#: Entries of an encoder's cache; it starts anew beyond that.
+UNITS = 450_000
+#: Units that are encoded as one text.
+JOINED = 256
 
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: White space other than the space and the line feed: in ASCII, and beyond.
@@ -51,59 +51,75 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: A mark between a letter or digit and a space is a piece of its own; it is cut off, and stands under MARK + mark.
+MARKS, MARK = ".,;:!?", "\x00"
+_MARKS = re.compile(r"[.,;:!?](?<=[^\W_].)(?= \S)")
+
+
 class Encoder:
-    """The tokenizer with caches in front: a text's ids as bytes of unsigned 16-bit integers.
+    """The tokenizer with a cache in front: a text's ids as bytes of unsigned 16-bit integers.
 
     The tokenizer cuts a text by its own pattern before it merges, and no cut spans a single space between two other
-    characters from its left to its right side; so what stands between such spaces can be encoded apart, and once.
+    characters from its left to its right side; so what stands between such spaces, a unit, can be encoded apart, and
+    once. New units are encoded many at a time, joined by single spaces: each holds one space, its first byte, so that
+    its ids begin at a token that begins with the space. Texts that hold an added token's own text, or MARK, are encoded whole.
     """
 
-    def __init__(self, path: str, pattern: str | None = None) -> None:
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
-        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        if self.tokenizer.get_vocab_size() > 1 << 16:
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        if max(vocabulary.values()) >= 1 << 16:
             raise ValueError("ids don't fit 16 bits")
-        self.cut = regex.compile(pattern or PATTERN).findall
-        self.units: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.begins = np.zeros(1 << 16, dtype=bool)
+        self.begins[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # how byte-level tokens write a space
+        self.restart()
+
+    def restart(self) -> None:
+        self.units: dict[str, bytes] = dict(zip((MARK + m for m in MARKS), self.plain(list(MARKS)), strict=True))
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, units: set[str]) -> None:
+    def learn(self, units: list[str]) -> None:
         """Enters the ids of ' ' + unit for each."""
-        if len(self.units) + len(units) > UNITS:
-            self.units = {}
-        if len(self.pieces) > PIECES:
-            self.pieces = {}
-        cut = {}
-        for u in units:
-            word = u.rstrip(".,;:!?")
-            # letters, then marks: the tokenizer's pattern cuts just between the two
-            cut[u] = ((f" {word}", u[len(word) :]) if len(word) < len(u) else (f" {word}",)) if word.isalpha() else self.cut(" " + u)
-        new = list({p for c in cut.values() for p in c}.difference(self.pieces))
-        for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            ids = e.ids
-            self.pieces[piece] = struct.pack(f"<{len(ids)}H", *ids)
-        at = self.pieces.__getitem__
-        for u, c in cut.items():
-            self.units[u] = at(c[0]) if len(c) == 1 else b"".join(map(at, c))
+        spaced = [u for u in units if " " in u]
+        if spaced:
+            units = [u for u in units if " " not in u]
+            self.units.update(zip(spaced, self.plain([" " + u for u in spaced]), strict=True))
+        parts = [units[at : at + JOINED] for at in range(0, len(units), JOINED)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u2")
+            starts = np.flatnonzero(self.begins[ids])
+            if len(starts) != len(part):
+                raise ValueError("not a byte-level vocabulary")
+            data, ends = ids.tobytes(), [*(2 * starts[1:]).tolist(), 2 * len(ids)]
+            self.units.update((u, data[s:t]) for u, s, t in zip(part, (2 * starts).tolist(), ends, strict=True))
+
+    def cut(self, text: str) -> list[str]:
+        """The text's units; the first one has no space before it."""
+        text = _MARKS.sub(" \x00\\g<0>", text)
+        return text.split(" ") if single_spaces(text) else _SPACE.split(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(texts), 256):
-            split = [t.split(" ") if single_spaces(t) else _SPACE.split(t) for t in texts[at : at + 256]]
-            words = set().union(*split)
+            some = texts[at : at + 256]
+            whole = [MARK in t or any(a in t for a in self.added) for t in some]
+            split = [[t] if w else self.cut(t) for t, w in zip(some, whole, strict=True)]
+            words = set().union(*(s[1:] for s in split))
             missing = words.difference(self.units)
             if missing:
                 if len(self.units) + len(missing) > UNITS:
-                    missing = words
-                self.learn(missing)
+                    self.restart()
+                    missing = words.difference(self.units)
+                self.learn(list(missing))
             known = self.units.__getitem__
-            heads = self.tokenizer.encode_batch_fast([s[0] for s in split], add_special_tokens=False)
-            for s, head in zip(split, heads, strict=True):
-                out.append(struct.pack(f"<{len(head.ids)}H", *head.ids) + b"".join(map(known, s[1:])))
+            for s, head in zip(split, self.plain([s[0] for s in split]), strict=True):
+                out.append(head + b"".join(map(known, s[1:])))
         return out
 
 
@@ -166,17 +182,21 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
     return (_mix(keys, 1000) >> np.uint64(32)).astype("<u4")
 
 
-def index_bytes(keys: np.ndarray, lengths: np.ndarray) -> bytes:
-    """The index and footer of a shard whose documents, in order, have these keys and numbers of ids (end id included)."""
+def index_bytes(keys: np.ndarray, lengths: np.ndarray, nulls: int = 0) -> bytes:
+    """The index and footer of a shard whose documents, in order, have these keys and numbers of ids (end id included).
+
+    The first `nulls` documents have no key; the perfect hash is built over the others.
+    """
     offsets = np.concatenate(([0], np.cumsum(lengths))).astype("<u8")
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, dtype=np.int64)
+    first = np.unique(np.concatenate((first[first >= nulls], [nulls] if nulls < len(keys) else []))).astype(np.int64)
     distinct = keys[first]
     hashed = PerfectHash.build(distinct)
     number = hashed.numbers(distinct)
     row, mark = np.empty(len(distinct), dtype="<u4"), np.empty(len(distinct), dtype="<u4")
     row[number], mark[number] = first, fingerprints(distinct)
     body = keys.astype("<i8").tobytes() + offsets.tobytes() + row.tobytes() + mark.tobytes() + struct.pack("<I", len(hashed.levels)) + b"".join(struct.pack("<I", len(x)) + x.tobytes() for x in hashed.levels)
-    return body + struct.pack("<QQQ", len(keys), len(distinct), len(body)) + MAGIC
+    return body + struct.pack("<QQQQ", len(keys), nulls, len(distinct), len(body)) + MAGIC
 
 
 class Shard:
@@ -186,8 +206,8 @@ class Shard:
         end = len(data) - 2
         if data[end - 8 : end] != MAGIC:
             raise ValueError("not a token shard")
-        n, distinct, size = struct.unpack_from("<QQQ", data, end - 32)
-        at = end - 32 - size
+        n, self.nulls, distinct, size = struct.unpack_from("<QQQQ", data, end - 40)
+        at = end - 40 - size
         self.ids = np.frombuffer(data, dtype="<u2", count=at // 2)
 
         def take(kind: str, count: int) -> np.ndarray:
@@ -206,16 +226,20 @@ class Shard:
     def document(self, i: int) -> np.ndarray:
         return self.ids[int(self.offsets[i]) : int(self.offsets[i + 1])]
 
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """The first row of each key, by the perfect hash, the stored fingerprint and the stored key; -1 where the key isn't here."""
+        if not len(self.row):
+            return np.full(len(keys), -1, dtype=np.int64)
+        number = self.hash.numbers(keys)
+        row = np.where((number >= 0) & (self.mark[number] == fingerprints(keys)), self.row[number].astype(np.int64), -1)
+        return np.where((row >= 0) & (self.keys[row] == keys), row, -1)  # another key may have this fingerprint
+
     def get(self, key: int | None) -> list[np.ndarray]:
         """Ids of the documents of a key (its rows stand side by side), in constant time; none if it isn't here."""
-        k = np.array([NULL_KEY if key is None else key], dtype=np.int64)
-        number = int(self.hash.numbers(k)[0]) if len(self.row) else -1
-        if number < 0 or self.mark[number] != fingerprints(k)[0]:
-            return []
-        i, out = int(self.row[number]), []
-        if self.keys[i] != k[0]:  # another key with this fingerprint
-            return []
-        while i < len(self.keys) and self.keys[i] == k[0]:
+        if key is None:
+            return [self.document(i) for i in range(self.nulls)]
+        i, out = int(self.places(np.array([key], dtype=np.int64))[0]), []
+        while 0 <= i < len(self.keys) and self.keys[i] == key:
             out.append(self.document(i))
             i += 1
         return out
@@ -223,17 +247,18 @@ class Shard:
 
 def _shard(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, lengths, enc = [], [], None
+        keys, lengths, nulls, enc = [], [], 0, None
         for batch in batches:
             enc = enc or encoder(path)
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 ids = enc.encode([t or "" for t in part.column(1).to_pylist()])
-                keys.append(part.column(0).fill_null(NULL_KEY).to_numpy(zero_copy_only=False))
+                nulls += part.column(0).null_count
+                keys.append(part.column(0).fill_null(0).to_numpy(zero_copy_only=False))
                 lengths += [len(x) // 2 + 1 for x in ids]
                 yield pa.record_batch([pa.array(ids, pa.binary())], names=["value"])
         if keys:
-            yield pa.record_batch([pa.array([index_bytes(np.concatenate(keys), np.array(lengths, dtype=np.int64))], pa.binary())], names=["value"])
+            yield pa.record_batch([pa.array([index_bytes(np.concatenate(keys), np.array(lengths, dtype=np.int64), nulls)], pa.binary())], names=["value"])
 
     return run
 
@@ -241,7 +266,8 @@ def _shard(path: str):
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, shard_bytes: int = SHARD_BYTES) -> None:
     """Writes the ids of every whole text (null: empty), by ascending doc_id, nulls first; rows of one doc_id by a hash of the text.
 
-    The ids of a document, then the end id: Spark's text writer puts the separator, two zero bytes, after every row, and
+    Every row is written, repeated rows too. An empty table writes no shard. A text of any length is one row of its
+    shard and is never cut. Columns other than doc_id and text are ignored. The ids of a document, then the end id: Spark's text writer puts the separator, two zero bytes, after every row, and
     writes the row's bytes as they are.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
@@ -255,8 +281,15 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for shard, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             s = Shard(data.as_py())
-            crc = [zlib.crc32(s.document(i).astype("<u4").tobytes()) for i in range(len(s.keys))]
-            keys = pa.array(s.keys, mask=s.keys == NULL_KEY)
+            n = np.arange(len(s.keys))
+            # a document's place is its key's by the hash, and as many rows on as the key came before
+            fresh = (n == s.nulls) | (n > s.nulls) & np.concatenate(([True], s.keys[1:] != s.keys[:-1]))
+            row = n - np.maximum.accumulate(np.where(fresh, n, s.nulls))
+            row = np.where(n < s.nulls, n, s.places(s.keys) + row)
+            if (row != n).any():
+                raise ValueError("the index doesn't fit the keys")
+            crc = [zlib.crc32(s.document(i).astype("<u4").tobytes()) for i in row.tolist()]
+            keys = pa.array(s.keys, mask=n < s.nulls)
             starts = s.offsets.astype(np.int64)
             yield pa.record_batch([pa.array([shard] * len(crc), pa.int32()), keys, pa.array(starts[:-1]), pa.array(np.diff(starts)), pa.array(crc, pa.int64())], names=["shard", "doc_id", "at", "n_tokens", "ids_crc32"])
 
@@ -268,7 +301,7 @@ def shards(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, shard, shard_start) for each document in the files.
+    """(doc_id, start, n_tokens, ids_crc32, shard, shard_start) for each document in the files; no rows for no shards.
 
     start counts ids over all files before it: a running sum over one row for each shard.
     """
