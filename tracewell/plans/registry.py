@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.plans import column_queries, graph_queries
+from tracewell.plans import column_queries, graph_queries, sql_queries
+
+_PARTS = (graph_queries, column_queries, sql_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return graph_queries.QUERIES | column_queries.QUERIES
+    return {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return graph_queries.ORACLES | column_queries.ORACLES
+    return {k: v for p in _PARTS for k, v in p.ORACLES.items()}

@@ -25,8 +25,8 @@ class Dialect:
 
 
 _ALL = frozenset({"union", "intersect", "except"})
-#: Date parts that are written like columns, by function and position from 0.
-_BIGQUERY = {"date_trunc": 1, "datetime_trunc": 1, "timestamp_trunc": 1, "time_trunc": 1, "date_diff": 2, "datetime_diff": 2, "timestamp_diff": 2, "time_diff": 2, "last_day": 1}
+#: Date parts and normalisation modes that are written like columns, by function and position from 0.
+_BIGQUERY = {"date_trunc": 1, "datetime_trunc": 1, "timestamp_trunc": 1, "time_trunc": 1, "date_diff": 2, "datetime_diff": 2, "timestamp_diff": 2, "time_diff": 2, "last_day": 1, "normalize": 1, "normalize_and_casefold": 1}
 _SNOWFLAKE = {"dateadd": 0, "datediff": 0, "timestampadd": 0, "timestampdiff": 0, "date_trunc": 0, "date_part": 0}
 _TSQL = {"dateadd": 0, "datediff": 0, "datediff_big": 0, "datename": 0, "datepart": 0, "datetrunc": 0}
 DIALECTS = {
@@ -34,7 +34,7 @@ DIALECTS = {
     for d in (
         Dialect("generic", '"`', quoted_fold=True),
         Dialect("ansi", fold="upper"),
-        Dialect("postgres", row_value_alias=True),
+        Dialect("postgres", row_value_alias=True, static={"normalize": 1}),
         Dialect("redshift", static={"dateadd": 0, "datediff": 0}),
         Dialect("duckdb", quoted_fold=True, lateral_derived=True, by_name=frozenset({"union"}), row_value_alias=True),
         Dialect("snowflake", fold="upper", by_name=frozenset({"union"}), static=_SNOWFLAKE),
@@ -45,7 +45,7 @@ DIALECTS = {
         Dialect("mysql", "`", quoted_fold=True, hash_comment=True, double_quoted_string=True, static={"timestampadd": 0, "timestampdiff": 0}),
         Dialect("sqlite", '"`[', quoted_fold=True),
         Dialect("tsql", '"[', quoted_fold=True, static=_TSQL),
-        Dialect("trino", quoted_fold=True),
+        Dialect("trino", quoted_fold=True, static={"normalize": 1}),
         Dialect("clickhouse", '"`', fold="keep", quoted_fold=True),
     )
 }
