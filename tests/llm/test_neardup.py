@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tracewell.llm import neardup
+from tracewell.llm import neardup, simhash
 
 SCHEMA = "doc_id long, text string, h string, sid int"
 
@@ -17,18 +17,22 @@ def text(seed, n):
     return " ".join(f"w{x}" for x in np.random.default_rng(seed).integers(0, 5000, n))
 
 
-def brute(data):
-    def shingles(t):
-        w = (t or "").lower().split()
-        return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+def words_apart(t):
+    w = (t or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
 
-    sets = {i: shingles(t) for i, t in data}
+def brute(data):
+    """(components over pairs of the similarity within the radius, share of the pairs of the similarity within it)."""
+    sets = {i: words_apart(t) for i, t in data}
+    fp = dict(zip(sets, simhash.fold([neardup.shingle_set(t) for _, t in data]), strict=True))
+    alike = [(a, b) for a, b in combinations(sets, 2) if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    linked = [(a, b) for a, b in alike if int(fp[a] ^ fp[b]).bit_count() <= neardup.RADIUS]
     label = {i: i for i in sets}
     for _ in sets:
-        for a, b in combinations(sets, 2):
-            if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
-                label[a] = label[b] = min(label[a], label[b])
-    return label
+        for a, b in linked:
+            label[a] = label[b] = min(label[a], label[b])
+    return label, len(linked) / len(alike)
 
 
 def near_copies():
@@ -45,12 +49,15 @@ def near_copies():
     return [(i, t) for i, t in enumerate(out)]
 
 
-@pytest.mark.parametrize("most", [neardup.RUN, 2])
-def test_every_near_copy_and_no_other(spark, most):
+@pytest.mark.parametrize("floor,block", [(neardup.FLOOR, simhash.BLOCK), (0, 8)])
+def test_every_near_copy_and_no_other(spark, monkeypatch, floor, block):
+    monkeypatch.setattr(neardup, "FLOOR", floor)
+    monkeypatch.setattr(simhash.dealt, "__defaults__", (block, ()))
     data = near_copies()
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in [*data, (3, data[3][1])]], SCHEMA)
-    got = neardup.cluster(docs, most=most).collect()
-    assert len(got) == len(data) + 1 and {r.doc_id: r.component_id for r in got} == brute(data)
+    got = neardup.cluster(docs, dense=neardup.DENSE if floor else 0).collect()
+    want, recall = brute(data)
+    assert len(got) == len(data) + 1 and {r.doc_id: r.component_id for r in got} == want and recall > 0.9
     assert neardup.cluster(docs.limit(0)).count() == 0
 
 
@@ -59,4 +66,4 @@ def test_stage_takes_the_similarity(spark):
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in data] + [(None, data[0][1], "x", 1)], SCHEMA)
     kept = corpus_pipeline.near_dedup(spark, docs, "")
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted([(False, i) for i in set(brute(data).values())] + [(True, 0)])
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted([(False, i) for i in set(brute(data)[0].values())] + [(True, 0)])

@@ -1,12 +1,11 @@
-"""Near copies by the similarity of their five-word shingles: every pair of texts of Jaccard similarity 0.8 is linked, no other.
+"""Near copies by SimHash, verified by the similarity of their five-word shingles.
 
-Candidates come from prefix filtering: with shingles in one order over all texts, two sets of similarity s share one of
-the first n - ceil(s n) + 1 shingles of each. Any order will do; shingles that are common in a sample of the texts come
-last, so that few texts share a prefix shingle without being alike. Candidates whose counts of shingles
-in parts of the hashes allow the similarity are verified by their exact one.
+Candidates are pairs of texts whose fingerprints, taken over the set of a text's shingles, differ in at most RADIUS bits,
+found by simhash's parts, thresholds and lookups, 14 being over the mean by one and a half standard deviations. Those whose shingle sets have a Jaccard similarity of 0.8 or more are
+linked, no others. Two sets of that similarity are expected to differ in 9.7 of 64 bits (standard deviation 2.9), fewer the more alike they are.
 
-Of texts that share a common prefix shingle, and are many, not all pairs are verified: texts already linked to one
-another need not be. A few rounds compare each with one of them, and then all that are still apart are compared.
+Of a run of texts that are all near one another, not all pairs are candidates: texts already linked to one another need
+not be compared. A few rounds compare each text with some of the others, and then all that are still apart are compared.
 """
 
 from __future__ import annotations
@@ -21,13 +20,12 @@ from pyspark.sql import functions as F
 
 from . import common, simhash
 
-WORDS, SIMILARITY = 5, 0.8
-#: Texts that share a prefix shingle: up to RUN of them are all paired, more are compared in ROUNDS rounds first.
-RUN, ROUNDS = 64, 3
-#: Texts sampled for common shingles, and how many of those are told apart; both only bear on speed.
-SAMPLE, COMMON = 4_000, 50_000
-#: Parts of the hashes whose shingles are counted; the counts bound what two sets have in common, however they fall.
-PARTS = 128
+WORDS, SIMILARITY, RADIUS = 5, 0.8, 14
+#: A run with more pairs within the radius than FLOOR and DENSE for each of its entries is dense: its rows are compared
+#: with some of the others in ROUNDS rounds first.
+DENSE, FLOOR, ROUNDS = 16, 1000, 3
+#: Numbers compared at once.
+CELLS = 1 << 20
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -41,97 +39,121 @@ def set_id(hashes: np.ndarray) -> int:
     return h - (h >> 63 << 64)
 
 
-def least_common(n: int, similarity: float) -> int:
-    """Shingles that a set of n has in common with any set of the similarity, at least."""
-    return int(np.ceil(similarity * n - 1e-9))
-
-
-def _common_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            yield pa.record_batch([pa.array(shingle_set(text).view(np.int64))], names=["h"])
-
-
-def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes in ascending order, counts) of the most frequent shingles in a sample of the texts."""
-    every = max(1, docs.count() // SAMPLE)
-    texts = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).distinct()
-    often = texts.mapInArrow(_common_of, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
-    got = often.orderBy(F.desc("n"), "h").limit(COMMON).toPandas()
-    h = got["h"].to_numpy(dtype=np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return h[order], got["n"].to_numpy(dtype=np.int64)[order]
-
+        ids, sizes, fps, held, n = [], [], [], [], 0
+        for text in batch.column(1):
+            s = shingle_set(text.as_py())
+            ids.append(set_id(s))
+            sizes.append(len(s))
+            held.append(s)
+            n += len(s)
+            if n > 100_000:
+                fps.append(simhash.fold(held))
+                held, n = [], 0
+        fps.append(simhash.fold(held))
+        yield pa.record_batch([batch.column(0), batch.column(2), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.concatenate(fps).view(np.int64))], names=["doc_id", "h", "sid", "n", "fp"])
+
+
+def _compare(x: dict[str, np.ndarray], y: dict[str, np.ndarray], radius: int, similarity: float, triangle: bool, most: float, seed: int) -> tuple[list[np.ndarray], list[np.ndarray], bool]:
+    """Pairs of x and y (both by ascending n) within the radius, of sizes that allow the similarity and of different
+    labels; with triangle, x is y and pairs count once. Beyond `most` pairs, three for each x at most, and True."""
+    a, b, found, dense, at = [], [], 0, False, 0
+    while at < len(x["n"]):
+        lo = int(np.searchsorted(y["n"], np.ceil(similarity * x["n"][at] - 1e-9)))
+        to = at + max(1, min(4096, CELLS // max(1, len(y["n"]) - lo)))
+        p = {c: v[at:to] for c, v in x.items()}
+        hi = int(np.searchsorted(y["n"], p["n"][-1] / similarity + 1e-9, side="right"))
+        hi = min(hi, at + len(p["n"])) if triangle else hi
+        if lo < hi:
+            q = {c: v[lo:hi] for c, v in y.items()}
+            near = np.bitwise_count(p["fp"][:, None] ^ q["fp"][None, :]) <= radius
+            if triangle:
+                near &= np.arange(lo, hi)[None, :] < np.arange(at, at + len(p["n"]))[:, None]
+            i, j = np.nonzero(near)
+            if len(i):
+                small, large = np.minimum(p["n"][i], q["n"][j]), np.maximum(p["n"][i], q["n"][j])
+                ok = (p["label"][i] != q["label"][j]) & (small >= similarity * large - 1e-9)
+                i, j = i[ok], j[ok]
+                found += len(i)
+                if found > most and len(i):
+                    dense = True
+                    # i ascends: of each x the first, the last and one between
+                    first = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
+                    size = np.diff(np.concatenate((first, [len(i)])))
+                    some = np.unique(np.concatenate((first, first + size - 1, first + (_mixed(p["rep"][i[first]], seed) % size.astype(np.uint64)).astype(np.int64))))
+                    i, j = i[some], j[some]
+                a.append(p["rep"][i])
+                b.append(q["rep"][j])
+        at += len(p["n"])
+    return a, b, dense
+
+
+def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
+    z = (x.view(np.uint64) + np.uint64(seed + 1)) * np.uint64(0x9E3779B97F4A7C15)
+    return z ^ (z >> np.uint64(32))
+
+
+_RUN = ["part", "sig", "salt", "role", "block", "n", "fp", "rep", "label"]
+
+
+def _pairs(radius: int, similarity: float, dense: float, seed: int):
+    """Of runs in order: candidate pairs (a, b), and a row (null, null, part, sig, salt) for each dense run."""
+
+    def close(t: dict[str, np.ndarray]) -> tuple[list, list, bool]:
+        entry = t["role"] == 0
+        most = dense * int(entry.sum()) + FLOOR
+        e = {c: t[c][entry] for c in ("n", "fp", "rep", "label")}
+        block = t["block"][entry]
+        if len(block) and block.min() != block.max():
+            one = block == block.min()
+            return _compare({c: v[~one] for c, v in e.items()}, {c: v[one] for c, v in e.items()}, radius, similarity, False, most, seed)
+        a, b, d = _compare(e, e, radius, similarity, True, most, seed)
+        a2, b2, d2 = _compare({c: t[c][~entry] for c in e}, e, radius, similarity, False, most, seed)
+        return a + a2, b + b2, d or d2
 
-def _prefixes(often: np.ndarray, counts: np.ndarray, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, sizes, keys, counted = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle_set(text)
-                ids.append(set_id(s))
-                sizes.append(len(s))
-                weight = np.zeros(len(s), dtype=np.int64)
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                    weight = np.where(often[at] == s, counts[at], 0)
-                first = len(s) - least_common(len(s), similarity) + 1 if len(s) else 0
-                counted.append(np.minimum(np.bincount((s % PARTS).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes())
-                keys.append(s[np.lexsort((s, weight))[:first]].view(np.int64))
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(counted, pa.binary())], names=["doc_id", "h", "sid", "n", "keys", "counts"])
-
-    return run
-
+        held: dict[str, np.ndarray] | None = None
+        out: tuple[list, list, list] = ([], [], [])
+
+        def flush() -> pa.RecordBatch:
+            a, b = (np.concatenate([*x, np.empty(0, dtype=np.int64)]) for x in out[:2])
+            pair = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
+            k, m = len(pair), len(out[2])
+            marks = [pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array([int(r[i]) for r in out[2]], pa.int64())]) for i in range(3)]
+            for x in out:
+                x.clear()
+            return pa.record_batch([*(pa.concat_arrays([pa.array(np.ascontiguousarray(pair[:, i])), pa.nulls(m, pa.int64())]) for i in range(2)), *marks], names=["a", "b", "part", "sig", "salt"])
+
+        def take(t: dict[str, np.ndarray]) -> None:
+            a, b, d = close(t)
+            out[0].extend(a)
+            out[1].extend(b)
+            if d:
+                out[2].append((t["part"][0], t["sig"][0], t["salt"][0]))
 
-def _pairs(similarity: float, most: int):
-    """Of rows (key, n, sid) in order: pairs (a, b) for keys of up to `most` rows, the rows of other keys as (a, null, key, n)."""
-
-    def close(key: np.ndarray, n: np.ndarray, sid: np.ndarray) -> pa.RecordBatch:
-        change = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-        size = np.repeat(np.diff(change), np.diff(change))
-        end = np.repeat(change[1:], np.diff(change))
-        a, b = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
-        at, step = np.flatnonzero((size <= most) & (end - np.arange(len(key)) > 1)), 1
-        while len(at):
-            at = at[n[at] >= similarity * n[at + step] - 1e-9]  # n ascends, so later ones are longer still
-            a.append(np.minimum(sid[at], sid[at + step]))
-            b.append(np.maximum(sid[at], sid[at + step]))
-            step += 1
-            at = at[end[at] - at > step]
-        a, b, many = np.concatenate(a), np.concatenate(b), size > most
-        left = int(many.sum())
-        return pa.record_batch(
-            [pa.array(np.concatenate((a, sid[many]))), pa.concat_arrays([pa.array(b), pa.nulls(left, pa.int64())]), pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(key[many])]), pa.concat_arrays([pa.nulls(len(a), pa.int32()), pa.array(n[many])])],
-            names=["a", "b", "key", "n"],
-        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
         for batch in batches:
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "sid")]
-            if not len(now[0]):
+            if not batch.num_rows:
                 continue
-            cut = int(np.searchsorted(now[0], now[0][-1]))
-            if cut or (held and held[-1][0][-1] != now[0][0]):
-                yield close(*(np.concatenate(x) for x in zip(*held, [c[:cut] for c in now], strict=True)))
-                held = []
-            held.append([c[cut:] for c in now])
+            t = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in _RUN}
+            t["fp"] = t["fp"].view(np.uint64)  # bitwise_count takes the absolute value of signed numbers
+            t = {c: np.concatenate((held[c], t[c])) for c in _RUN} if held else t
+            change = np.flatnonzero((t["part"][1:] != t["part"][:-1]) | (t["sig"][1:] != t["sig"][:-1]) | (t["salt"][1:] != t["salt"][:-1])) + 1
+            edges = [0, *change.tolist()]
+            entries = np.concatenate(([0], np.cumsum(t["role"] == 0)))
+            for s, e in zip(edges, edges[1:], strict=False):
+                if e - s > 1 and entries[e] > entries[s]:  # lookups that meet no entry have nothing to be compared with
+                    take({c: v[s:e] for c, v in t.items()})
+            held = {c: v[edges[-1] :] for c, v in t.items()}
+            if len(held["role"]) > 8 * simhash.BLOCK and (held["role"] == 1).any():
+                # lookups come after the entries of their value: those already compared need not be kept
+                take(held)
+                own = held["role"] == 0
+                held = {c: v[own] for c, v in held.items()}
+            yield flush()
         if held:
-            yield close(*(np.concatenate(x) for x in zip(*held, strict=True)))
-
-    return run
-
-
-def _possible(similarity: float):
-    """The pairs whose counts allow the similarity; a count of 255 stands for any more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, PARTS) for c in ("x", "y"))
-            most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-            both = batch.column("nx").to_numpy().astype(np.int64) + batch.column("ny").to_numpy()
-            ok = (most * (1 + similarity) >= similarity * both - 1e-6) | ((x == 255) & (y == 255)).any(axis=1)
-            yield pa.record_batch([batch.column(c).filter(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
+            take(held)
+            yield flush()
 
     return run
 
@@ -142,50 +164,51 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["sid", "hashes"])
 
 
-def cluster(docs: DataFrame, similarity: float = SIMILARITY, most: int = RUN) -> DataFrame:
-    """(doc_id, component_id) for every row: the smallest doc_id reachable over pairs of texts of the similarity.
+def cluster(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, dense: int = DENSE) -> DataFrame:
+    """(doc_id, component_id) for every row: the smallest doc_id reachable over pairs of texts of the similarity whose fingerprints are within the radius.
 
-    Texts of the same shingles are searched once. Texts of fewer words than a shingle have one of all their words; null and
-    wordless texts are alike. component_id is null if no row of the component has a doc_id.
+    Texts of the same shingles are searched once, so groups of copies add no pairs. Texts of fewer words than a shingle
+    have one of all their words; null and wordless texts are alike. Repeated rows repeat. component_id is null if no row
+    of the component has a doc_id. An empty table gives no rows; other columns are ignored. A long text is one row and
+    one fingerprint, and is never cut.
     """
     keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
-    rows = common.stored(keyed.mapInArrow(_prefixes(*common_shingles(keyed), similarity), "doc_id long, h long, sid long, n int, keys array<long>, counts binary"), "prefixes")
-    keys = rows.dropDuplicates(["sid"]).select(F.explode("keys").alias("key"), "n", "sid")
-    found = common.stored(keys.repartition("key").sortWithinPartitions("key", "n", "sid").mapInArrow(_pairs(similarity, most), "a long, b long, key long, n int"), "candidates")
-    many = found.where("b is null").select("key", F.col("a").alias("sid"), "n")
-    pairs = found.where("b is not null").select("a", "b").distinct()
-    counts = common.stored(rows.dropDuplicates(["sid"]).select("sid", "n", "counts"), "counts")
+    rows = common.stored(keyed.mapInArrow(_described, "doc_id long, h long, sid long, n int, fp long"), "described")
+    sets = common.stored(rows.groupBy("sid").agg(F.min(F.struct("doc_id", "h")).alias("r"), F.first("n").alias("n"), F.first("fp").alias("fp")).select("sid", "r.*", "n", "fp"), "sets")
+    parts = simhash.plan(*simhash.bit_stats(sets), radius)
+
+    def candidates(labels: DataFrame | None, only: DataFrame | None, turn: int) -> DataFrame:
+        fps = sets.select("fp", F.col("sid").alias("rep"), "n")
+        if labels is None:
+            fps = fps.withColumn("label", F.col("rep"))
+        else:
+            fps = fps.join(labels, F.col("rep") == F.col("node"), "left").select("fp", "rep", "n", F.coalesce("component", "rep").alias("label"))
+        runs = simhash.dealt(fps, parts, carry=("n", "label"))
+        if only is not None:
+            runs = runs.join(common.bounded(only), ["part", "sig", "salt"], "left_semi")
+        ordered = runs.select(*_RUN).repartition("part", "sig", "salt").sortWithinPartitions("part", "sig", "salt", "role", "n")
+        return common.stored(ordered.mapInArrow(_pairs(radius, similarity, float("inf") if turn == ROUNDS else dense, turn), "a long, b long, part long, sig long, salt long"), "candidates")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        x, y = counts.select(F.col("sid").alias("a"), F.col("n").alias("nx"), F.col("counts").alias("x")), counts.select(F.col("sid").alias("b"), F.col("n").alias("ny"), F.col("counts").alias("y"))
-        pairs = common.stored(pairs.join(x, "a").join(y, "b").mapInArrow(_possible(similarity), "a long, b long"), "possible")
-        # hashes are computed again for the texts in these pairs rather than kept for all: one row of each set, told by id and text
+        pairs = common.stored(pairs, "pairs")
+        # hashes are computed again for the texts in these pairs rather than kept for all
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-        some = rows.select("sid", "doc_id", "h").join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "h")).alias("r"))
-        some = common.stored(some.select("sid", F.col("r.doc_id").alias("id"), F.col("r.h").alias("want")), "wanted")
+        some = common.stored(sets.join(wanted, "sid", "left_semi").select("sid", F.col("doc_id").alias("id"), F.col("h").alias("want")), "wanted")
         texts = keyed.join(common.bounded(some), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("want"))).select("sid", "text")
-        sets = common.stored(texts.mapInArrow(_sets, "sid long, hashes array<long>").dropDuplicates(["sid"]), "sets")
-        left, right = sets.select(F.col("sid").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("sid").alias("b"), F.col("hashes").alias("y"))
+        hashes = common.stored(texts.mapInArrow(_sets, "sid long, hashes array<long>").dropDuplicates(["sid"]), "hashes")
+        left, right = hashes.select(F.col("sid").alias("a"), F.col("hashes").alias("x")), hashes.select(F.col("sid").alias("b"), F.col("hashes").alias("y"))
         both = pairs.join(left, "a").join(right, "b").withColumn("k", F.size(F.array_intersect("x", "y")))
         return common.stored(both.where(F.col("k") >= F.lit(similarity) * (F.size("x") + F.size("y") - F.col("k")) - 1e-9).select("a", "b"), "near")
 
-    near = verified(pairs)
-    comp = common.components(near)
-    if many.limit(1).count():
-        for turn in range(ROUNDS + 1):
-            now = many.join(comp.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "n", F.coalesce("component", "sid").alias("c"))
-            apart = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by(F.struct("sid", "n", "c"), F.xxhash64("sid", F.lit(turn))).alias("one")).where("lo < hi").select("key", "one")
-            now = common.stored(now.join(apart, "key"), "apart")
-            if not now.limit(1).count():
-                break
-            if turn < ROUNDS:
-                other = now.select("sid", "n", "c", F.col("one.sid").alias("sid2"), F.col("one.n").alias("n2"), F.col("one.c").alias("c2"))
-            else:
-                again = now.select("key", F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-                other = now.drop("one").join(again, "key").where("sid < sid2")
-            other = other.where((F.col("c") != F.col("c2")) & (F.least("n", "n2") >= F.lit(similarity) * F.greatest("n", "n2") - 1e-9))
-            near = common.stored(near.unionByName(verified(other.select(F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b")).distinct())), "near")
-            comp = common.components(near)
+    near = comp = only = None
+    for turn in range(ROUNDS + 1):
+        found = candidates(comp, only, turn)
+        more = verified(found.where("a is not null").select("a", "b").distinct())
+        near = more if near is None else common.stored(near.unionByName(more), "near")
+        comp = common.components(near)
+        only = found.where("a is null").select(F.col("part").cast("int").alias("part"), "sig", F.col("salt").cast("int").alias("salt")).distinct()
+        if not only.limit(1).count():
+            break
     rows = rows.select("doc_id", "sid").join(comp.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", F.coalesce("component", "sid").alias("c"))
     rows = common.stored(rows, "members")
     return rows.join(rows.groupBy("c").agg(F.min("doc_id").alias("component_id")), "c").select("doc_id", "component_id")

@@ -146,6 +146,7 @@ def lookups(width: int, t: int) -> int:
 
 def allocate(n: int, both: np.ndarray, groups: list[list[int]], radius: int) -> tuple[float, list[int]]:
     """(estimated seconds, threshold of each part), the least by dynamic programming over the sum of thresholds + 1."""
+    n = max(n, 1)  # without any, each plan would cost nothing, the one with the most lookups too
     need, parts = radius + 1, len(groups)
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for bits in groups:
@@ -176,8 +177,8 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def entries(fps: DataFrame, parts: list[tuple[list[int], int]]) -> tuple[DataFrame, DataFrame]:
-    """(entries, lookups): rows (part, sig, role, fp, rep); entries (role 0) stand under their own value, lookups (role 1) under larger values within the part's threshold."""
+def entries(fps: DataFrame, parts: list[tuple[list[int], int]], carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(entries, lookups): rows (part, sig, role, fp, rep, *carry); entries (role 0) stand under their own value, lookups (role 1) under larger values within the part's threshold."""
     own, other = [], []
     for k, (bits, t) in enumerate(parts):
         mask = sum(1 << b for b in bits)
@@ -186,14 +187,34 @@ def entries(fps: DataFrame, parts: list[tuple[list[int], int]]) -> tuple[DataFra
             other += [F.struct(F.lit(k).alias("part"), F.lit(_signed(mask)).alias("mask"), F.lit(_signed(sum(1 << b for b in c))).alias("flip")) for c in combinations(bits, d)]
 
     def rows(ways: list, role: int) -> DataFrame:
-        x = fps.select("fp", "rep", F.explode(F.array(*ways)).alias("w")) if ways else fps.limit(0).select("fp", "rep", F.struct(F.lit(0).alias("part"), F.lit(0).cast("long").alias("mask"), F.lit(0).cast("long").alias("flip")).alias("w"))
+        x = fps.select("fp", "rep", *carry, F.explode(F.array(*ways)).alias("w")) if ways else fps.limit(0).select("fp", "rep", *carry, F.struct(F.lit(0).alias("part"), F.lit(0).cast("long").alias("mask"), F.lit(0).cast("long").alias("flip")).alias("w"))
         at = F.col("fp").bitwiseAND(F.col("w.mask"))
-        x = x.select(F.col("w.part").alias("part"), at.alias("at"), at.bitwiseXOR(F.col("w.flip")).alias("sig"), F.lit(role).alias("role"), "fp", "rep")
+        x = x.select(F.col("w.part").alias("part"), at.alias("at"), at.bitwiseXOR(F.col("w.flip")).alias("sig"), F.lit(role).alias("role"), "fp", "rep", *carry)
         return (x.where("sig > at") if role else x).drop("at")
 
     return rows(own, 0), rows(other, 1)
 
 
+def dealt(fps: DataFrame, parts: list[tuple[list[int], int]], block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Entries and lookups as rows (part, sig, salt, role, block, fp, rep, *carry): those that agree in the first three are a run, to be compared.
+
+    A value of a part with over `block` entries is dealt out in pairs of blocks, each a run of its own, so that none
+    has the entries of more than two blocks. Only runs of one block have lookups.
+    """
+    own, other = entries(fps, parts, carry)
+    hot = common.stored(own.groupBy("part", "sig").agg(F.count("*").alias("n")).where(F.col("n") > block).withColumn("k", F.ceil(F.col("n") / block).cast("int")).drop("n"), "hot")
+    rows = own.unionByName(other)
+    plain = rows.withColumns({"salt": F.lit(0), "block": F.lit(0)})
+    if hot.limit(1).count():
+        joined = rows.join(common.bounded(hot), ["part", "sig"], "left")
+        mine = F.when(F.col("role") == 0, F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
+        split = joined.where("k is not null").withColumn("mine", mine).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        lo, hi = F.least(F.coalesce("mine", "j"), "j"), F.greatest(F.coalesce("mine", "j"), "j")
+        split = split.select("part", "sig", "role", "fp", "rep", *carry, (lo * F.col("k") + hi + 1).alias("salt"), F.coalesce("mine", F.lit(0)).alias("block"))
+        plain = joined.where("k is null").drop("k").withColumns({"salt": F.lit(0), "block": F.lit(0)}).unionByName(split)
+    return plain.select("part", "sig", "salt", "role", "block", "fp", "rep", *carry)
+
+
 def forest(fp: np.ndarray, radius: int) -> np.ndarray:
     """For each fingerprint the index of its component's first; each is compared with what isn't reached yet."""
     root, rest = np.arange(len(fp)), np.arange(len(fp))
@@ -283,24 +304,8 @@ def _link(radius: int):
 
 
 def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """(a, b) pairs of `rep` of fingerprints (distinct fp, rep) within the radius; enough of them to join every component.
-
-    A value of a part with over `block` entries is dealt out in pairs of blocks, each to a task of its own, so that no
-    task holds more than two blocks.
-    """
-    n, both = bit_stats(fps)
-    own, other = entries(fps, plan(n, both, radius))
-    hot = common.stored(own.groupBy("part", "sig").agg(F.count("*").alias("n")).where(F.col("n") > block).withColumn("k", F.ceil(F.col("n") / block).cast("int")).drop("n"), "hot")
-    rows = own.unionByName(other)
-    plain = rows.withColumns({"salt": F.lit(0), "block": F.lit(0)})
-    if hot.limit(1).count():
-        joined = rows.join(common.bounded(hot), ["part", "sig"], "left")
-        mine = F.when(F.col("role") == 0, F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
-        dealt = joined.where("k is not null").withColumn("mine", mine).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        lo, hi = F.least(F.coalesce("mine", "j"), "j"), F.greatest(F.coalesce("mine", "j"), "j")
-        dealt = dealt.select("part", "sig", "role", "fp", "rep", (lo * F.col("k") + hi + 1).alias("salt"), F.coalesce("mine", F.lit(0)).alias("block"))
-        plain = joined.where("k is null").drop("k").withColumns({"salt": F.lit(0), "block": F.lit(0)}).unionByName(dealt)
-    rows = plain.select("part", "sig", "salt", "role", "block", "fp", "rep")
+    """(a, b) pairs of `rep` of fingerprints (distinct fp, rep) within the radius; enough of them to join every component."""
+    rows = dealt(fps, plan(*bit_stats(fps), radius), block)
     return rows.repartition("part", "sig", "salt").sortWithinPartitions("part", "sig", "salt", "role").mapInArrow(_link(radius), "a long, b long")
 
 
