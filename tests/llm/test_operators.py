@@ -9,6 +9,7 @@ from itertools import product
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 from tracewell.llm import common, decontamination, learn, licenses, mixing, passages, quality, sharding, simhash, tokens, toxicity
@@ -65,6 +66,39 @@ def test_slot_maps(spark, tmp_path):
     assert sharding.load(spark, path) == g and sharding.load(spark, path, 1) == m
 
 
+def test_stored_map_is_edited(spark, tmp_path):
+    """Against a plain recount: the newest map decides, a balanced one stays, new sizes add one version that moves few slots."""
+    path = str(tmp_path / "map")
+    docs = table(spark, [(i, "x" * (i % 97 * 7), "a") for i in range(1500)])
+
+    def run(docs, n=4):
+        got = sharding.shard_documents(docs, n, 64, path).collect()
+        m = sharding.load(spark, path)
+        assert all(r.shard == m.shard_of[r.vslot] and r.map_version == m.version for r in got)
+        for s in range(n):
+            mine = sorted((r.vslot, r.doc_id) for r in got if r.shard == s)
+            assert [(r.vslot, r.doc_id) for r in sorted((r for r in got if r.shard == s), key=lambda r: r.slot)] == mine
+            assert sorted(r.slot for r in got if r.shard == s) == list(range(len(mine)))
+        load = [sum(r.size for r in got if r.shard == s) for s in range(n)]
+        assert max(load) - min(load) <= 0.02 * sum(load)
+        return {r.doc_id: r.shard for r in got}, m
+
+    one, first = run(docs)
+    two, again = run(docs)
+    assert one == two and first == again and sharding.versions(spark, path) == [0, 1]
+    more = docs.union(table(spark, [(2000 + i, "y" * 400, "a") for i in range(300)]))
+    three, edited = run(more)
+    assert edited.version == 2 and sharding.load(spark, path, 1) == first
+    assert sum(a != b for a, b in zip(first.shard_of, edited.shard_of, strict=True)) <= 16
+    _, grown = run(more, 5)
+    assert grown.n_shards == 5 and sharding.versions(spark, path) == [0, 1, 2, 3]
+    with pytest.raises(ValueError, match="stored already"):
+        sharding.save(spark, [first], path)
+    clash = docs.select("doc_id", "text", F.lit("mine").alias("shard"), F.lit(1).alias("size"), F.lit("k").alias("law"))
+    out = sharding.shard_documents(clash, 4, 64, keep=("doc_id", "text", "shard", "size", "law"))
+    assert out.columns.count("shard") == 1 and out.where("law = 'bytes'").count() == 1500
+
+
 # -- mixing
 
 

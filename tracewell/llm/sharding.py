@@ -69,8 +69,18 @@ class SlotMap:
         return SlotMap(self.version + 1, n_shards, tuple(shard_of))
 
 
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions stored at a path, none if nothing is there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return []
+    return sorted(r.version for r in spark.read.schema(MAP_SCHEMA).parquet(path).select("version").distinct().collect())
+
+
 def save(spark: SparkSession, maps: list[SlotMap], path: str) -> None:
-    """Adds versions to the stored table; earlier versions stay readable."""
+    """Adds versions to the stored table; earlier versions stay readable, and none is stored twice."""
+    if twice := {m.version for m in maps} & set(versions(spark, path)):
+        raise ValueError(f"versions {sorted(twice)} are stored already")
     rows = [(m.version, i, s) for m in maps for i, s in enumerate(m.shard_of)]
     spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.mode("append").parquet(path)
 
@@ -78,11 +88,30 @@ def save(spark: SparkSession, maps: list[SlotMap], path: str) -> None:
 def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
     """A stored version, the newest by default. The table has versions x slots rows, so it may be collected."""
     table = spark.read.schema(MAP_SCHEMA).parquet(path)
-    version = table.agg(F.max("version")).first()[0] if version is None else version
+    version = max(versions(spark, path)) if version is None else version
     rows = table.where(F.col("version") == version).orderBy("vslot").collect()
+    if [r.vslot for r in rows] != list(range(len(rows))) or not rows:
+        raise ValueError(f"version {version} of the map isn't whole")
     return SlotMap(version, 1 + max(r.shard for r in rows), tuple(r.shard for r in rows))
 
 
+def rebalance(spark: SparkSession, path: str, weight: dict[int, int], n_shards: int, n_slots: int = SLOTS) -> SlotMap:
+    """The newest stored map (a first one if there is none), edited to balance these bytes per slot, and stored as its
+    next version; a map that is balanced already stays as it is. More shards than before take slots of the others."""
+    if not versions(spark, path):
+        save(spark, [SlotMap.first(n_shards, n_slots)], path)
+    old = load(spark, path)
+    if len(old.shard_of) != n_slots or old.n_shards > n_shards:
+        raise ValueError(f"the stored map has {len(old.shard_of)} slots and {old.n_shards} shards")
+    base = old.grown(n_shards) if old.n_shards < n_shards else old
+    new = base.rebalanced(weight)
+    if new.shard_of == old.shard_of:
+        return old
+    new = SlotMap(old.version + 1, n_shards, new.shard_of)
+    save(spark, [new], path)
+    return new
+
+
 def with_slots(docs: DataFrame, n_slots: int = SLOTS) -> DataFrame:
     """docs with size (UTF-8 bytes plus 1), text_crc32 (of the UTF-8 bytes) and vslot, computed in the scan; a null text counts as empty."""
     return (
@@ -92,33 +121,37 @@ def with_slots(docs: DataFrame, n_slots: int = SLOTS) -> DataFrame:
     )
 
 
+#: The columns of the result besides doc_id.
+RESULT = ("size", "text_crc32", "law", "shard", "slot", "grown_shard", "vslot", "map_version")
+
+
 def shard_documents(docs: DataFrame, n_shards: int = 16, n_slots: int = SLOTS, map_path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Each row's shard under a map balanced by bytes, and its place in the shard (slot, gapless from 0).
 
     Returns doc_id, `keep`, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null: it only exists for key
-    maps), vslot and map_version. Rows of a shard stand by virtual slot, then doc_id; equal rows are interchangeable. A
-    row of the input gives one row of the result: null and repeated keys hash like others, an empty table gives no rows.
-    Bytes and counts per virtual slot are the only things that reach the driver: n_slots rows at any input size.
-    Columns other than doc_id and text are ignored unless kept.
+    maps), vslot and map_version. The map at map_path is loaded, edited and stored as a new version; without a path, or
+    with nothing there, a first one is made. Rows of a shard stand by virtual slot, then doc_id; equal rows are
+    interchangeable. A row of the input gives one row of the result: null and repeated keys hash like others, null texts
+    count as empty, an empty table gives no rows, a text of any length is one row. Bytes and counts per virtual slot are
+    the only things that reach the driver: n_slots rows at any input size. Columns other than doc_id and text are ignored
+    unless kept; of kept columns named like one of the result, the result's is returned.
     """
     spark = docs.sparkSession
-    rows = with_slots(docs.select("doc_id", "text", *[c for c in keep if c not in ("doc_id", "text")]), n_slots)
+    keep = tuple(c for c in keep if c != "doc_id" and c not in RESULT)
+    rows = with_slots(docs.select("doc_id", "text", *[c for c in keep if c != "text"]), n_slots)
     per_slot = {r.vslot: (r.b, r.n) for r in rows.groupBy("vslot").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()}
-    path = map_path or common.new_path(spark, "slot-map")
-    start = SlotMap.first(n_shards, n_slots)
-    save(spark, [start, start.rebalanced({k: b for k, (b, _) in per_slot.items()})], path)
-    current = load(spark, path)
+    current = rebalance(spark, map_path or common.new_path(spark, "slot-map"), {k: b for k, (b, _) in per_slot.items()}, n_shards, n_slots)
     before, used = [], [0] * n_shards
     for i, s in enumerate(current.shard_of):
         before.append((i, s, used[s]))
         used[s] += per_slot.get(i, (0, 0))[1]
-    table = spark.createDataFrame(before, "vslot int, shard int, before long")
+    table = spark.createDataFrame(before, "vslot int, shard int, __before long")
     place = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")) - 1
     return (
-        rows.select("doc_id", *[c for c in keep if c != "doc_id"], "size", "text_crc32", "vslot")
-        .withColumn("place", place.cast("long"))
+        rows.select("doc_id", *keep, "size", "text_crc32", "vslot")
+        .withColumn("__place", place.cast("long"))
         .join(F.broadcast(table), "vslot")  # n_slots rows
-        .select("doc_id", *[c for c in keep if c != "doc_id"], "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("place")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot", F.lit(current.version).alias("map_version"))
+        .select("doc_id", *keep, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("__before") + F.col("__place")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot", F.lit(current.version).alias("map_version"))
     )
 
 
