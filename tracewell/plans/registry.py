@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.plans import column_queries, graph_queries, sql_queries
+from tracewell.plans import column_queries, graph_queries, project_queries, sql_queries
 
-_PARTS = (graph_queries, column_queries, sql_queries)
+_PARTS = (graph_queries, column_queries, sql_queries, project_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
