@@ -12,6 +12,8 @@ from tracewell.functions import storage
 
 #: Graphs of at most this many edges are walked in one go on the driver; the result is the same.
 SMALL_EDGES = 250_000
+#: Pairs that the driver makes at most.
+SMALL_PAIRS = 500_000
 
 
 def _few(edges: DataFrame, limit: int | None) -> list | None:
@@ -72,7 +74,8 @@ def window(edges: DataFrame, focus: DataFrame, up: int | None, down: int | None)
 def reach_pairs(edges: DataFrame, roots: DataFrame, direction: str = "up", small: int | None = None) -> DataFrame:
     """(root, node, distance) for every root (one column, node) and every node it reaches, itself at 0.
 
-    Grows with the pairs it returns: one join a round for all roots together. Up to `small` edges and SMALL_EDGES roots, it is done on the driver.
+    Grows with the pairs it returns: one join a round for all roots together. Up to `small` edges and SMALL_EDGES roots, it
+    is done on the driver, as long as there are at most SMALL_PAIRS pairs; beyond those it starts anew in rounds.
     """
     spark = edges.sparkSession
     a, b = ("src", "dst") if direction == "down" else ("dst", "src")
@@ -91,7 +94,10 @@ def reach_pairs(edges: DataFrame, roots: DataFrame, direction: str = "up", small
                 front = [n for n in dict.fromkeys(n for f in front for n in after[f]) if n not in seen]
                 seen |= dict.fromkeys(front, at)
             out += [(root, n, d) for n, d in seen.items()]
-        return spark.createDataFrame(out, schema)
+            if len(out) > SMALL_PAIRS:
+                break
+        else:
+            return spark.createDataFrame(out, schema)
     hops = edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct()
     levels = storage.Levels(spark, schema, "pairs")
     front, n = levels.add(roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("distance")).distinct())
@@ -162,18 +168,46 @@ def find_cycle(edges: DataFrame) -> list[str]:
     """One cycle, its first node repeated at the end; [] if there is none.
 
     From the smallest node that reaches a cycle the walk takes the smallest next node, of which there always is one,
-    until a node comes again. One row a step reaches the driver, or the successors at once where they are few.
+    until a node comes again. Where successors are few they are followed on the driver; else by pointer doubling: after
+    j rounds a node on the walk's cycle is known, 2^j steps from the start, and only the cycle itself is then collected.
     """
     rest = on_cycles(edges)
     step = storage.stored(rest.groupBy("src").agg(F.min("dst").alias("dst")), "successors")
     first = step.agg(F.min("src")).first()[0]
     if first is None:
         return []
-    few = dict(step.limit(10_001).collect()) if step.limit(10_001).count() <= 10_000 else None
+    many = step.count()
+    if many > FEW_STEPS:
+        step = _walked(step, first, many)
+    few = dict(step.select("src", "dst").collect())
     path, seen = [first], {first: 0}
     while True:
-        at = few[path[-1]] if few is not None else step.where(F.col("src") == path[-1]).first().dst
+        at = few[path[-1]]
         if at in seen:
             return path[seen[at] :] + [at]
         seen[at] = len(path)
         path.append(at)
+
+
+#: Successors that the driver follows itself.
+FEW_STEPS = 10_000
+
+
+def _walked(step: DataFrame, first: str, many: int) -> DataFrame:
+    """The successors of the nodes that the walk from `first` meets: a round doubles how many are known, by jumps that double too."""
+    spark = step.sparkSession
+    met = spark.createDataFrame([(first,)], "node string")
+    jump, n = step, 1
+    for _ in range(many.bit_length() + 1):
+        more = met.join(jump, met["node"] == jump["src"]).select(F.col("dst").alias("node"))
+        met = storage.stored(met.union(more).distinct(), "walk")
+        now = met.count()
+        if now == n:  # all that follows is met already
+            break
+        n = now
+        jump = storage.stored(jump.alias("a").join(step_to(jump), F.col("a.dst") == F.col("b_src")).select("a.src", F.col("b_dst").alias("dst")), "jump")
+    return step.join(met, step["src"] == met["node"], "left_semi")
+
+
+def step_to(jump: DataFrame) -> DataFrame:
+    return jump.select(F.col("src").alias("b_src"), F.col("dst").alias("b_dst"))

@@ -167,7 +167,7 @@ def upstream(slots_: DataFrame, models: DataFrame, roots: DataFrame | None = Non
     starts = roots if roots is not None else slots_.where("key is not null and not declared").select(node().alias("node"))
     pairs = closure.reach_pairs(edges.select("src", "dst"), starts, "up", small)
     ends = pairs.join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
-    info = slots_.where("key is not null").join(models.select("uid", "kind"), "uid").select(node().alias("node"), "kind", "complete", F.coalesce(F.element_at(F.transform("reasons", lambda r: r["kind"]), 1) if False else F.try_element_at(F.transform("reasons", lambda r: r["kind"]), F.lit(1)), F.lit("")).alias("why"))
+    info = slots_.where("key is not null").join(models.select("uid", "kind"), "uid").select(node().alias("node"), "kind", "complete", F.coalesce(F.try_element_at(F.transform("reasons", lambda r: r["kind"]), F.lit(1)), F.lit("")).alias("why"))
     b = F.when(F.col("kind").isNull() | (F.col("kind") == "source"), "external_relation").when(F.col("kind") == "seed", "seed").when(F.col("complete"), "source_free").when(F.col("why").isin("missing_definition", "analysis_failed"), F.col("why")).otherwise("unresolved")
     return ends.join(info.dropDuplicates(["node"]), "node", "left").select("root", F.col("node").alias("source"), "distance", b.alias("boundary"))
 
@@ -178,12 +178,20 @@ def downstream(slots_: DataFrame, starts: DataFrame, small: int | None = None) -
     return closure.reach_pairs(edges, starts, "down", small).where("distance > 0")
 
 
-def possible(slots_: DataFrame, starts: DataFrame) -> DataFrame:
-    """(node): columns that may depend on a start, though no proof says so: slots with an unresolved part whose name or
-    relation could be the start's, and what follows from them; confirmed ones are left out."""
+def possible(slots_: DataFrame, starts: DataFrame, models: DataFrame | None = None) -> DataFrame:
+    """(node): columns that may depend on a start, though no proof says so: slots with an unresolved part whose name could
+    be the start's, of models that come after the start's where models are given, and what follows from them; confirmed
+    ones are left out."""
     start = starts.select("node", F.element_at(F.split("node", "#"), 1).alias("owner"), F.element_at(F.split("node", "#"), 2).alias("key"))
     loose = slots_.where("not complete").select(node().alias("hit"), F.explode("reasons").alias("r"))
-    first = loose.join(start.select("key").distinct(), F.col("r.payload") == F.col("key"), "left_semi").select(F.col("hit").alias("node")).distinct()
+    if models is None:
+        first = loose.join(start.select("key").distinct(), F.col("r.payload") == F.col("key"), "left_semi").select(F.col("hit").alias("node")).distinct()
+    else:
+        from tracewell.operators import gaps
+
+        after = gaps.behind(models, starts).select("uid", F.substring_index("input", "#", -1).alias("key")).distinct()
+        loose = loose.select("hit", F.substring_index("hit", "#", 1).alias("uid"), F.col("r.payload").alias("key"))
+        first = loose.join(after, ["uid", "key"], "left_semi").select(F.col("hit").alias("node")).distinct()
     edges = storage.stored(graph(slots_).select("src", "dst"), "column-edges")
     sure = closure.reach(edges, starts.select("node"))
     return closure.reach(edges, first).select("node").join(sure.select("node"), "node", "left_anti")

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracewell.functions import schema, storage
-from tracewell.operators.closure import reach
+from tracewell.operators.closure import on_cycles, reach
 
 #: Paths kept for each exposure: a report's limit.
 PATHS = 10
+#: Open paths from which on those that can't be wanted are dropped.
+MANY = 1000
 
 
 def severity() -> Column:
@@ -42,7 +44,9 @@ def exposure_paths(nodes: DataFrame, edges: DataFrame, start: DataFrame, most: i
     """((exposure, path, rank), (exposure, truncated)): simple paths from the start to each exposure, shortest first, then
     by their text, `most` of each at most; truncated says that so many were reached.
 
-    Paths only walk nodes from which an exposure can be reached, and end at it.
+    Paths only walk nodes from which an exposure can be reached, and end at it. Without cycles, whatever follows a node
+    follows each path to it, so that of the paths of one length to a node only the first `most` can be wanted: the rest
+    goes at once, and a layered graph keeps few. With cycles all simple paths are followed.
     """
     spark = edges.sparkSession
     goals = nodes.where("node_type = 'exposure'").select(F.col("unique_id").alias("node"))
@@ -51,8 +55,14 @@ def exposure_paths(nodes: DataFrame, edges: DataFrame, start: DataFrame, most: i
     hops = storage.stored(hops.join(goals.withColumnRenamed("node", "src"), "src", "left_anti"), "path-edges")
     done = storage.Levels(spark, "node string, path array<string>", "paths")
     front = storage.stored(start.select("node", F.array("node").alias("path")), "path-front")
-    n = front.count()
+    n, acyclic = front.count(), None
+    first = Window.partitionBy("node").orderBy(F.array_join("path", ">"))
     while n:
+        if n > MANY and acyclic is None:
+            acyclic = not on_cycles(hops).limit(1).count()
+        if n > MANY and acyclic:
+            front = storage.stored(front.withColumn("k", F.row_number().over(first)).where(F.col("k") <= most).drop("k"), "path-front")
+            n = front.count()
         step = storage.small(front, n).join(hops, F.col("node") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
         step = step.select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         step = storage.stored(step, "path-front")

@@ -12,6 +12,10 @@ from tracewell.functions import schema
 from tracewell.functions.patterns import glob_regex, is_glob
 
 
+#: Names that are compared with every id's end.
+FEW = 50
+
+
 def selector(text: str) -> Column:
     """One selector as a condition on nodes: tag:x, path:p or a name; each may be a glob.
 
@@ -38,9 +42,10 @@ def lookup(nodes: DataFrame, names: DataFrame) -> DataFrame:
     """(name, stage, unique_id, candidates) for each name (one column) that stands for a node.
 
     Stages, of which the first that finds anything counts: unique id, alias or bare model name, label, and end of the
-    unique id after a dot (not for phantoms). Of several nodes the smallest id is chosen. Each stage is an equi-join: ids
-    are cut at their dots, so that an end is a key too.
+    unique id after a dot (not for phantoms). Of several nodes the smallest id is chosen. Each stage is an equi-join; a few
+    names are compared with the ends of ids instead of cutting every id at its dots.
     """
+    few = names.select("name").distinct().limit(FEW + 1).collect()
     n = nodes.select("unique_id", "label", "node_type", "aliases")
     parts = F.split("unique_id", r"\.")
     keys = [
@@ -48,7 +53,9 @@ def lookup(nodes: DataFrame, names: DataFrame) -> DataFrame:
         n.select(F.lit(2), F.explode("aliases"), "unique_id"),
         n.where(F.col("node_type") == "model").select(F.lit(2), F.element_at(parts, -1), "unique_id"),
         n.select(F.lit(3), "label", "unique_id"),
-        n.where(F.col("node_type") != "phantom").select(F.lit(4), F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))), "unique_id"),
+        n.where(F.col("node_type") != "phantom").select(F.lit(4), F.explode(F.filter(F.array(*[F.lit(r.name) for r in few]), lambda x: F.col("unique_id").endswith(F.concat(F.lit("."), x)))), "unique_id")
+        if 0 < len(few) <= FEW
+        else n.where(F.col("node_type") != "phantom").select(F.lit(4), F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))), "unique_id"),
     ]
     hits = reduce(DataFrame.union, keys).join(names.select("name").distinct(), "name").distinct()
     best = hits.groupBy("name").agg(F.min("stage").alias("stage"))
@@ -78,9 +85,12 @@ def page(df: DataFrame, order: list[str], limit: int, after: int = 0) -> DataFra
     return top.withColumn("position", F.row_number().over(Window.orderBy(*order))).where(F.col("position") > after)
 
 
-def summary(nodes: DataFrame) -> DataFrame:
-    """(node_type, n): every kind, also those with no node, and total."""
+def summary(nodes: DataFrame, edges: DataFrame | None = None, variables: dict | None = None) -> DataFrame:
+    """(node_type, n): every kind, also those with no node, and total; with edges and variables, their numbers too."""
     got = nodes.groupBy("node_type").agg(F.count("*").alias("n"))
     kinds = nodes.sparkSession.createDataFrame([(k,) for k in schema.NODE_KINDS], "node_type string")
     per = kinds.join(got, "node_type", "left").select("node_type", F.coalesce("n", F.lit(0)).alias("n"))
-    return per.union(per.agg(F.lit("total"), F.sum("n")))
+    out = per.union(per.agg(F.lit("total"), F.sum("n")))
+    if edges is not None:
+        out = out.union(edges.agg(F.lit("edges"), F.count("*")))
+    return out if variables is None else out.union(nodes.sparkSession.createDataFrame([("vars", len(variables))], "node_type string, n long"))

@@ -59,6 +59,11 @@ def edges_of(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return storage.stored(e, "edges")
 
 
+def edges_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The project's edges as they come, for one pass."""
+    return _sql(spark, sf_dir, EDGES_SQL)
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _sql(spark, sf_dir, NODES_SQL)
     empty = F.array().cast("array<string>")
