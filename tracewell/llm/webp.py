@@ -1,13 +1,18 @@
-"""Lossless WebP (VP8L): a decoder for every feature of the format, and a writer of plain images.
+"""Lossless WebP (VP8L): a decoder for every feature of the format, and a writer that codes images by their content.
 
 The decoder reads prefix codes (simple and normal), meta prefix images, back-references and the colour cache, and
-inverts the predictor, cross-colour, subtract-green and palette transforms. Where every code of an image has 8-bit or
-zero-bit symbols only, its pixels stand at fixed places and are read with numpy at once.
+inverts the predictor, cross-colour, subtract-green and palette transforms. Images with one group of codes are decoded
+with numpy: what would follow is worked out for every bit, then the symbols that are really there are walked through.
+
+The writer uses a palette where there are few colours, the predictor where rows repeat the row above, back-references
+where runs of pixels repeat, and the colour cache where single pixels do; small images share one set of prefix codes,
+larger ones get their own.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import struct
 import zlib
 from collections.abc import Iterator
@@ -55,7 +60,7 @@ class Code:
         used = np.flatnonzero(lengths)
         self.single = int(used[0]) if len(used) == 1 else -1
         self.width, self.table = 0, [(0, self.single)]
-        self.flat: np.ndarray | None = None
+        self.lengths, self.symbols = np.zeros(1, dtype=np.int64), np.array([max(self.single, 0)])
         if len(used) < 2:
             if not len(used):
                 self.single = 0
@@ -72,8 +77,8 @@ class Code:
             table[low :: 1 << n] = [(n, s)] * len(range(low, len(table), 1 << n))
             code += 1
         self.table = table
-        if self.width == 8 and len(used) == 256 and used[-1] == 255:
-            self.flat = np.array([s for _, s in table], dtype=np.uint8)
+        both = np.array(table, dtype=np.int64)
+        self.lengths, self.symbols = both[:, 0].copy(), both[:, 1].copy()
 
     def read(self, bits: Bits) -> int:
         if self.single >= 0:
@@ -130,8 +135,139 @@ def _value(bits: Bits, prefix: int) -> int:
     return ((2 + (prefix & 1)) << extra) + bits.read(extra) + 1
 
 
+#: Groups of codes read lately, by how their text begins: cache bits, place in the byte, first 17 bytes -> bits, bytes, rest, codes.
+_GROUPS: dict[tuple[int, int, int, bytes], tuple[int, bytes, int, list[Code]]] = {}
+
+
 def _group(bits: Bits, cache: int) -> list[Code]:
-    return [read_code(bits, n) for n in (280 + (1 << cache if cache else 0), 256, 256, 256, 40)]
+    by, off = bits.at >> 3, bits.at & 7
+    key = (cache, off, bits.data[by] >> off if by < len(bits.data) else 0, bits.data[by + 1 : by + 17])
+    if hit := _GROUPS.get(key):
+        n, text, rest, codes = hit
+        end, tail = by + 1 + len(text), (bits.at + n) & 7
+        if bits.data[by + 1 : end] == text and (not tail or end < len(bits.data) and bits.data[end] & ((1 << tail) - 1) == rest):
+            bits.at += n
+            return codes
+    start = bits.at
+    codes = [read_code(bits, n) for n in (280 + (1 << cache if cache else 0), 256, 256, 256, 40)]
+    end, tail = bits.at >> 3, bits.at & 7
+    if end - by > 17 and end + (tail > 0) <= len(bits.data):
+        if len(_GROUPS) > 16:
+            _GROUPS.clear()
+        _GROUPS[key] = (bits.at - start, bits.data[by + 1 : end], bits.data[end] & ((1 << tail) - 1) if tail else 0, codes)
+    return codes
+
+
+def _prefixed(w: np.ndarray, at: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, bits of their extra part) of prefix symbols whose extra bits begin at `at`, w being 24 bits from each place."""
+    extra = np.where(symbol < 4, 0, (symbol - 2) >> 1)
+    more = w[at] & ((1 << extra) - 1)
+    return np.where(symbol < 4, symbol + 1, ((2 + (symbol & 1)) << extra) + more + 1), extra
+
+
+#: Bytes of an image whose every bit is looked at together.
+BLOCK = 1 << 15
+
+
+def _tokens(bits: Bits, codes: list[Code], total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(kind, pixel, length, distance symbol's value) of each symbol of an image with one group of codes; kind is 0 for a
+    literal pixel, 1 for a back-reference, else 2 plus the place in the cache. Moves bits to the image's end."""
+    green, red, blue, alpha, dist = codes
+    if not any(c.width for c in codes[:4]) and green.single < 256:  # one pixel all over, which takes no bits
+        pixel = alpha.single << 24 | red.single << 16 | green.single << 8 | blue.single
+        return np.zeros(total, dtype=np.int64), np.full(total, pixel), np.ones(total, dtype=np.int64), np.zeros(total, dtype=np.int64)
+    parts, done = [], 0
+    while done < total:
+        by, at = bits.at >> 3, bits.at & 7
+        if by >= len(bits.data):
+            raise ValueError("the image ends early")
+        raw = np.frombuffer(bits.data, dtype=np.uint8, offset=by)[: min(BLOCK + 32, (total - done) * 8 + 64)]
+        last = by + len(raw) == len(bits.data)
+        n = 8 * (len(raw) if last else len(raw) - 31)  # a symbol takes less than 31 bytes
+        b = np.concatenate((raw, np.zeros(32, dtype=np.uint8))).astype(np.int64)
+        word = b[:-4] | b[1:-3] << 8 | b[2:-2] << 16 | b[3:-1] << 24 | b[4:] << 32
+        w = ((word[:, None] >> np.arange(8)) & 0xFFFFFFFF).ravel()  # 32 bits from each place; beyond the end they are 0
+        end = len(w) - 1
+        g = w & ((1 << green.width) - 1)
+        p1, sym = np.minimum(np.arange(len(w)) + green.lengths[g], end), green.symbols[g]
+        r = w[p1] & ((1 << red.width) - 1)
+        p2 = np.minimum(p1 + red.lengths[r], end)
+        x = w[p2] & ((1 << blue.width) - 1)
+        p3 = np.minimum(p2 + blue.lengths[x], end)
+        y = w[p3] & ((1 << alpha.width) - 1)
+        after = np.where(sym >= 280, p1, np.minimum(p3 + alpha.lengths[y], end))
+        size, far = np.ones(len(w), dtype=np.int64), np.zeros(len(w), dtype=np.int64)
+        back = np.flatnonzero((sym >= 256) & (sym < 280))
+        if len(back):
+            size[back], extra = _prefixed(w, p1[back], sym[back] - 256)
+            q = np.minimum(p1[back] + extra, end)
+            d = w[q] & ((1 << dist.width) - 1)
+            q = np.minimum(q + dist.lengths[d], end)
+            far[back], extra = _prefixed(w, q, dist.symbols[d])
+            after[back] = np.minimum(q + extra, end)
+        step, sizes, seen = after.tolist(), size.tolist() if len(back) else None, []
+        if sizes is None:
+            while done < total and at < n:
+                seen.append(at)
+                at = step[at]
+                done += 1
+        else:
+            while done < total and at < n:
+                seen.append(at)
+                done += sizes[at]
+                at = step[at]
+        bits.at = 8 * by + at
+        if bits.at > 8 * len(bits.data):
+            raise ValueError("the image ends early")
+        k = np.array(seen, dtype=np.int64)
+        s = sym[k]
+        pixel = alpha.symbols[y[k]] << 24 | red.symbols[r[k]] << 16 | s << 8 | blue.symbols[x[k]]
+        parts.append((np.where(s < 256, 0, np.where(s < 280, 1, s - 280 + 2)), pixel, size[k], far[k]))
+    if done > total:
+        raise ValueError("a back-reference leaves the image")
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+
+def _distance(value: int, width: int) -> int:
+    if value > 120:
+        return value - 120
+    x, y = NEAR[value - 1]
+    return max(1, x + y * width)
+
+
+def _one_group(bits: Bits, codes: list[Code], cache: int, width: int, height: int) -> np.ndarray:
+    kind, pixel, size, far = _tokens(bits, codes, width * height)
+    if not kind.any():
+        return pixel.astype(np.uint32).reshape(height, width)
+    starts = np.cumsum(size) - size
+    if not cache:
+        out = np.zeros(width * height, dtype=np.uint32)
+        out[starts[kind == 0]] = pixel[kind == 0]
+        for k in np.flatnonzero(kind == 1).tolist():
+            at, n, d = int(starts[k]), int(size[k]), _distance(int(far[k]), width)
+            if d > at:
+                raise ValueError("a back-reference leaves the image")
+            while n > 0:  # what it copies may be what it has just written
+                m = min(n, d)
+                out[at : at + m] = out[at - d : at - d + m]
+                at, n, d = at + m, n - m, d + m
+        return out.reshape(height, width)
+    out, held, shift, done = [], [0] * (1 << cache), 32 - cache, 0
+    for k, p, n, f in zip(kind.tolist(), pixel.tolist(), size.tolist(), far.tolist(), strict=True):
+        if k == 0:
+            out.append(p)
+        elif k == 1:
+            d, at = _distance(f, width), len(out)
+            if d > at:
+                raise ValueError("a back-reference leaves the image")
+            for i in range(at, at + n):
+                out.append(out[i - d])
+        else:
+            for q in out[done:]:
+                held[(0x1E35A7BD * q & 0xFFFFFFFF) >> shift] = q
+            done = len(out)
+            out.append(held[k - 2])
+    return np.array(out, dtype=np.uint32).reshape(height, width)
 
 
 def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
@@ -144,16 +280,8 @@ def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         shift = bits.read(3) + 2
         meta = (_image(bits, -(-width >> shift), -(-height >> shift), False) >> np.uint32(8)) & np.uint32(0xFFFF)
     groups = [_group(bits, cache) for _ in range(int(meta.max()) + 1 if meta is not None else 1)]
-    if len(groups) == 1 and not cache and all(c.flat is not None for c in groups[0][:4]):
-        n, by, off = width * height, bits.at >> 3, bits.at & 7
-        raw = np.frombuffer(bits.data, dtype=np.uint8, count=4 * n + (off > 0), offset=by)
-        x = (raw[:-1] >> off) | (raw[1:] << (8 - off)) if off else raw
-        bits.at += 32 * n
-        x = x.reshape(n, 4)
-        out = np.empty((n, 4), dtype=np.uint8)  # little-endian ARGB: blue, green, red, alpha
-        for to, (source, c) in zip((1, 2, 0, 3), enumerate(groups[0][:4]), strict=True):
-            out[:, to] = c.flat[x[:, source]]
-        return out.view("<u4").reshape(height, width)
+    if len(groups) == 1:
+        return _one_group(bits, groups[0], cache, width, height)
     out, at, total = [0] * (width * height), 0, width * height
     held = [0] * (1 << cache) if cache else []
     done = 0
@@ -166,12 +294,7 @@ def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
             at += 1
         elif s < 280:
             n = _value(bits, s - 256)
-            d = _value(bits, distance.read(bits))
-            if d > 120:
-                d -= 120
-            else:
-                x, y = NEAR[d - 1]
-                d = max(1, x + y * width)
+            d = _distance(_value(bits, distance.read(bits)), width)
             if d > at or at + n > total:
                 raise ValueError("a back-reference leaves the image")
             for k in range(at, at + n):
@@ -344,52 +467,260 @@ class Writer:
         return self
 
 
-@lru_cache(1)
-def _plain() -> tuple[int, int]:
-    """What stands between an image's size and its pixels where all four channels have 8-bit codes: (bits, how many)."""
-    w = Writer().put(1, 1).put(0, 3)  # alpha, version
-    w.put(0, 1).put(0, 1).put(0, 1)  # no transform, no colour cache, one group of codes
-    for channel in range(4):
-        w.put(0, 1).put(8, 4)  # a normal code; 12 lengths of the code-length code follow, of which the last is 8's
-        for k in range(12):
-            w.put(int(LENGTH_ORDER[k] == 8), 3)
-        w.put(1, 1).put(3, 3).put(254, 8) if channel == 0 else w.put(0, 1)  # green has more symbols than 256
-    w.put(1, 1).put(0, 1).put(0, 1).put(0, 1)  # distances: one symbol
-    return w.value, w.n
+def _lengths(weight: np.ndarray, most: int = 15) -> np.ndarray:
+    """Lengths of a prefix code for symbols of these weights (0: none), at most `most`; one symbol alone has length 1."""
+    used = np.flatnonzero(weight)
+    out = np.zeros(len(weight), dtype=np.uint8)
+    if len(used) < 2:
+        out[used] = 1
+        return out
+    w = weight[used].astype(np.int64)
+    while True:
+        nodes, parent, tie = [(int(x), k) for k, x in enumerate(w)], {}, len(used)
+        heapq.heapify(nodes)
+        while len(nodes) > 1:
+            (x, i), (y, j) = heapq.heappop(nodes), heapq.heappop(nodes)
+            parent[i] = parent[j] = tie
+            heapq.heappush(nodes, (x + y, tie))
+            tie += 1
+        level = {tie - 1: 0}
+        for k in range(tie - 2, -1, -1):
+            level[k] = level[parent[k]] + 1
+        depth = [level[k] for k in range(len(used))]
+        if max(depth) <= most:
+            out[used] = depth
+            return out
+        w = np.maximum(w >> 1, 1) + (w.max() >> most)  # flatter weights give shorter codes
+
+
+def _words(lengths: np.ndarray) -> np.ndarray:
+    """Each symbol's code word, first bit lowest."""
+    out, code, before = np.zeros(len(lengths), dtype=np.int64), 0, 0
+    for n, k in sorted((int(lengths[k]), int(k)) for k in np.flatnonzero(lengths)):
+        code <<= n - before
+        before = n
+        out[k] = int(format(code, f"0{n}b")[::-1], 2)
+        code += 1
+    return out
 
 
-_REVERSED = bytes(int(format(i, "08b")[::-1], 2) for i in range(256))
+def _put_code(w: Writer, lengths: np.ndarray) -> np.ndarray:
+    """Writes a code; returns the lengths that symbols take (none where there is one symbol)."""
+    used = np.flatnonzero(lengths)
+    if len(used) < 2 and (not len(used) or used[0] < 256):
+        k = int(used[0]) if len(used) else 0
+        w.put(1, 1).put(0, 1).put(int(k > 1), 1).put(k, 8 if k > 1 else 1)
+        return np.zeros(len(lengths), dtype=np.uint8)
+    runs: list[tuple[int, int, int]] = []  # symbol of the code-length code, extra value, extra bits
+    values, at, before = lengths[: int(used[-1]) + 1].tolist(), 0, 8
+    while at < len(values):
+        v, n = values[at], 1
+        while at + n < len(values) and values[at + n] == v:
+            n += 1
+        left = n
+        if v:
+            if v != before:
+                runs.append((v, 0, 0))
+                before, left = v, left - 1
+            while left >= 3:
+                m = min(left, 6)
+                runs.append((16, m - 3, 2))
+                left -= m
+        else:
+            while left >= 3:
+                m = min(left, 138)
+                runs.append((17, m - 3, 3) if m < 11 else (18, m - 11, 7))
+                left -= m
+        runs += [(v, 0, 0)] * left
+        at += n
+    of = _lengths(np.bincount([r[0] for r in runs], minlength=19), 7)
+    word = _words(of)
+    last = max(k for k in range(19) if of[LENGTH_ORDER[k]])
+    count = max(last + 1, 4)
+    w.put(0, 1).put(count - 4, 4)
+    for k in range(count):
+        w.put(int(of[LENGTH_ORDER[k]]), 3)
+    w.put(1, 1)
+    size = max((len(runs) - 2).bit_length(), 2)
+    size += size & 1
+    w.put((size - 2) // 2, 3).put(len(runs) - 2, size)
+    alone = np.count_nonzero(of) == 1
+    for s, x, n in runs:
+        if not alone:
+            w.put(int(word[s]), int(of[s]))
+        w.put(x, n)
+    return lengths if len(used) > 1 else np.zeros(len(lengths), dtype=np.uint8)
+
+
+def _prefix(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbol, extra value, extra bits) of values from 1."""
+    x = v - 1
+    high = np.maximum(np.frexp(np.maximum(x, 1).astype(np.float64))[1] - 1, 0)
+    second = (x >> np.maximum(high - 1, 0)) & 1
+    bits = np.where(x < 4, 0, high - 1)
+    return np.where(x < 4, x, 2 * high + second), np.where(x < 4, 0, x & ((1 << np.maximum(bits, 0)) - 1)), bits
+
+
+#: Pixels up to which images share one set of codes.
+SHARED = 1024
+#: A run of so many pixels that repeats becomes a back-reference; places of the colour cache, as bits.
+RUN, CACHE = 4, 10
+
+
+@lru_cache(2)
+def _shared(cache: int) -> tuple[int, int, tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """(bits, how many, lengths, words) of the codes for small images: by rule, spaces and small letters are common, other
+    printable characters less so, all other bytes rare."""
+    byte = np.full(256, 1)
+    byte[33:127] = 6
+    byte[97:123] = 100
+    byte[[0, 32, 97, 101, 105, 110, 111, 114, 115, 116]] = [120, 400, 200, 300, 200, 200, 200, 200, 200, 250]
+    lengths = [_lengths(np.concatenate((byte, np.full(24, 2), np.full(1 << cache if cache else 0, 1)))), *[_lengths(byte)] * 3, _lengths(np.ones(40, dtype=np.int64))]
+    w = Writer()
+    taken = tuple(_put_code(w, x) for x in lengths)
+    return w.value, w.n, taken, tuple(_words(x) for x in lengths)
+
+
+def _repeats(p: np.ndarray) -> list[tuple[int, int, int]]:
+    """(at, length, distance) of runs of RUN pixels and more that came before; not overlapping, in order."""
+    n = len(p) - RUN + 1
+    if n < 2:
+        return []
+    h = p[:n].astype(np.uint64)
+    for k in range(1, RUN):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + p[k : k + n]
+    order = np.argsort(h, kind="stable")
+    same = np.flatnonzero(h[order[1:]] == h[order[:-1]])
+    if not len(same):
+        return []
+    before = np.full(n, -1, dtype=np.int64)
+    before[order[same + 1]] = order[same]
+    places, out, at = np.flatnonzero(before >= 0), [], 0
+    while True:
+        k = int(np.searchsorted(places, at))
+        if k == len(places):
+            return out
+        i = int(places[k])
+        j = int(before[i])
+        n = min(len(p) - i, 4096)
+        differ = np.flatnonzero(p[i : i + n] != p[j : j + n])
+        n = int(differ[0]) if len(differ) else n
+        if n >= RUN and i - j < 1 << 20:
+            out.append((i, n, i - j))
+            at = i + n
+        else:
+            at = i + 1
+
+
+def _put_image(w: Writer, pixels: np.ndarray, main: bool) -> bytes | None:
+    """Writes an image's codes and pixels (ARGB, row by row), the main one's last part as bytes that begin with w's open bits."""
+    p = pixels.ravel().astype(np.uint32)
+    found = _repeats(p) if main else []
+    single = np.ones(len(p), dtype=bool)
+    for at, n, _ in found:
+        single[at : at + n] = False
+    cache, place = 0, None
+    if main and len(p) > SHARED and len(np.unique(p)) < 0.8 * len(p):
+        cache = CACHE
+        slots = ((np.uint64(0x1E35A7BD) * p.astype(np.uint64) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - CACHE)).astype(np.int64)
+        order = np.argsort(slots, kind="stable")
+        hit = np.flatnonzero((slots[order[1:]] == slots[order[:-1]]) & (p[order[1:]] == p[order[:-1]]))
+        place = np.full(len(p), -1, dtype=np.int64)  # the cache holds the last pixel of each place, whatever brought it
+        place[order[hit + 1]] = slots[order[hit + 1]]
+    w.put(int(cache > 0), 1)
+    if cache:
+        w.put(cache, 4)
+    if main:
+        w.put(0, 1)  # one group of codes
+    starts = np.concatenate((np.flatnonzero(single), np.array([f[0] for f in found], dtype=np.int64)))
+    order = np.argsort(starts)
+    starts = starts[order]
+    size, far = np.ones(len(starts), dtype=np.int64), np.zeros(len(starts), dtype=np.int64)
+    if found:
+        k = np.searchsorted(starts, [f[0] for f in found])
+        size[k], far[k] = [f[1] for f in found], [f[2] + 120 for f in found]
+    back = far > 0
+    cached = (place[starts] >= 0) & ~back if cache else np.zeros(len(starts), dtype=bool)
+    q = p[starts].astype(np.int64)
+    symbols = [np.where(back, 0, (q >> 8) & 255), (q >> 16) & 255, q & 255, q >> 24]
+    n_sym, n_extra, n_bits = _prefix(size)
+    d_sym, d_extra, d_bits = _prefix(np.maximum(far, 1))
+    symbols[0] = np.where(back, 256 + n_sym, np.where(cached, 280 + (place[starts] if cache else 0), symbols[0]))
+    plain = ~back & ~cached
+    if main and len(p) <= SHARED and not cache:
+        value, n, taken, words = _shared(0)
+        w.put(value, n)
+    else:
+        counts = [np.bincount(symbols[0], minlength=280 + (1 << cache if cache else 0)), *(np.bincount(s[plain], minlength=256) for s in symbols[1:]), np.bincount(d_sym[back], minlength=40)]
+        lengths = [_lengths(c) for c in counts]
+        taken, words = [_put_code(w, x) for x in lengths], [_words(x) for x in lengths]
+    # in order: green, red, blue, alpha; for a back-reference its length's rest, its distance and that one's rest
+    value, bits = np.zeros((len(starts), 4), dtype=np.int64), np.zeros((len(starts), 4), dtype=np.int64)
+    for c in range(4):
+        value[:, c], bits[:, c] = words[c][symbols[c]] if c == 0 else np.where(plain, words[c][symbols[c]], 0), taken[c][symbols[c]] if c == 0 else np.where(plain, taken[c][symbols[c]], 0)
+    if found:
+        value[back, 1], bits[back, 1] = n_extra[back], n_bits[back]
+        value[back, 2], bits[back, 2] = words[4][d_sym[back]], taken[4][d_sym[back]]
+        value[back, 3], bits[back, 3] = d_extra[back], d_bits[back]
+    value, bits = value.ravel(), bits.ravel()
+    value = np.where(bits > 0, value, 0)
+    ends = np.cumsum(bits)
+    total = int(ends[-1]) if len(ends) else 0
+    flat = ((np.repeat(value, bits) >> (np.arange(total) - np.repeat(ends - bits, bits))) & 1).astype(np.uint8)
+    if not main:
+        packed = np.packbits(flat, bitorder="little").tobytes()
+        w.put(int.from_bytes(packed, "little"), total)
+        return None
+    by, off = divmod(w.n, 8)
+    head = w.value.to_bytes(by + 1, "little")
+    lead = (head[by] >> np.arange(off)) & 1
+    return head[:by] + np.packbits(np.concatenate((lead.astype(np.uint8), flat)), bitorder="little").tobytes()
+
+
+def encode_argb(argb: np.ndarray) -> bytes:
+    """A WebP file of (height, width) pixels, coded by their content."""
+    height, width = argb.shape
+    w = Writer().put(0x2F, 8).put(width - 1, 14).put(height - 1, 14).put(1, 1).put(0, 3)  # alpha, version
+    colors = np.unique(argb) if argb.size > 64 else argb.ravel()
+    if argb.size > 64 and len(colors) <= min(256, argb.size // 4):
+        n = len(colors)
+        shift = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
+        w.put(1, 1).put(PALETTE, 2).put(n - 1, 8)
+        channels = _channels(colors[None, :])[0]
+        differences = np.diff(channels, axis=0, prepend=np.zeros((1, 4), dtype=np.uint8)).astype(np.uint8)
+        _put_image(w, differences.view(">u4").astype(np.uint32), False)
+        index = np.searchsorted(colors, argb).astype(np.uint32)
+        if shift:
+            index = np.pad(index, ((0, 0), (0, -width % (1 << shift))))
+            each = 8 >> shift
+            index = sum(index[:, k :: 1 << shift] << np.uint32(k * each) for k in range(1 << shift))
+        argb = np.uint32(0xFF000000) | index << np.uint32(8)
+    elif height > 1 and (argb[1:] == argb[:-1]).mean() > 0.5:
+        w.put(1, 1).put(PREDICTOR, 2).put(7, 3)  # blocks of 512, all predicted from above
+        blocks = (-(-height >> 9), -(-width >> 9))
+        _put_image(w, np.full(blocks, 0xFF000000 | 2 << 8, dtype=np.uint32), False)
+        c = _channels(argb)
+        rest = c.copy()
+        rest[1:] -= c[:-1]
+        rest[0, 1:] -= c[0, :-1]
+        rest[0, 0] -= np.array([255, 0, 0, 0], dtype=np.uint8)
+        argb = rest.view(">u4")[..., 0].astype(np.uint32)
+    w.put(0, 1)
+    return contained(_put_image(w, argb, True))
 
 
 def encode(pixels: np.ndarray) -> bytes:
-    """A WebP file of (height, width, 4) red, green, blue, alpha samples, each stored as an 8-bit code."""
-    height, width, _ = pixels.shape
-    value, n = _plain()
-    w = Writer().put(0x2F, 8).put(width - 1, 14).put(height - 1, 14).put(value, n)
-    return _stream(w, np.ascontiguousarray(pixels[..., [1, 0, 2, 3]]).tobytes())
-
-
-def _stream(w: Writer, samples: bytes) -> bytes:
-    """samples: green, red, blue, alpha of each pixel."""
-    x, (by, off) = np.frombuffer(samples.translate(_REVERSED), dtype=np.uint8), divmod(w.n, 8)
-    head = w.value.to_bytes(by + 1, "little")
-    if not off:
-        return contained(head[:by] + x.tobytes())
-    out = np.empty(len(x) + 1, dtype=np.uint8)
-    np.left_shift(x, off, out=out[:-1])
-    out[-1] = 0
-    out[1:] |= x >> (8 - off)
-    out[0] |= head[by]
-    return contained(head[:by] + out.tobytes())
+    """A WebP file of (height, width, 4) red, green, blue, alpha samples."""
+    c = pixels.astype(np.uint32)
+    return encode_argb(c[..., 3] << np.uint32(24) | c[..., 0] << np.uint32(16) | c[..., 1] << np.uint32(8) | c[..., 2])
 
 
 def store_payload(payload: bytes) -> bytes:
     """WebP files, one after another, whose samples (green, red, blue, alpha) are the payload, a multiple of 64 bytes."""
-    value, n = _plain()
     out = []
     for at in range(0, len(payload), 4 * ROW * SIDE):
-        part = payload[at : at + 4 * ROW * SIDE]
-        out.append(_stream(Writer().put(0x2F, 8).put(ROW - 1, 14).put(len(part) // (4 * ROW) - 1, 14).put(value, n), part))
+        x = np.frombuffer(payload, dtype=np.uint8, count=min(4 * ROW * SIDE, len(payload) - at), offset=at).reshape(-1, ROW, 4).astype(np.uint32)
+        out.append(encode_argb(x[..., 3] << np.uint32(24) | x[..., 1] << np.uint32(16) | x[..., 0] << np.uint32(8) | x[..., 2]))
     return b"".join(out)
 
 
