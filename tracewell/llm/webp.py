@@ -612,8 +612,9 @@ def _repeats(p: np.ndarray) -> list[tuple[int, int, int]]:
             at = i + 1
 
 
-def _put_image(w: Writer, pixels: np.ndarray, main: bool) -> bytes | None:
-    """Writes an image's codes and pixels (ARGB, row by row), the main one's last part as bytes that begin with w's open bits."""
+def _put_image(w: Writer, pixels: np.ndarray, main: bool, text: bool = False) -> bytes | None:
+    """Writes an image's codes and pixels (ARGB, row by row), the main one's last part as bytes that begin with w's open bits.
+    text: the pixels are the payload's own, so that a small image may use the shared codes."""
     p = pixels.ravel().astype(np.uint32)
     found = _repeats(p) if main else []
     single = np.ones(len(p), dtype=bool)
@@ -647,7 +648,7 @@ def _put_image(w: Writer, pixels: np.ndarray, main: bool) -> bytes | None:
     d_sym, d_extra, d_bits = _prefix(np.maximum(far, 1))
     symbols[0] = np.where(back, 256 + n_sym, np.where(cached, 280 + (place[starts] if cache else 0), symbols[0]))
     plain = ~back & ~cached
-    if main and len(p) <= SHARED and not cache:
+    if text and len(p) <= SHARED:
         value, n, taken, words = _shared(0)
         w.put(value, n)
     else:
@@ -705,8 +706,9 @@ def encode_argb(argb: np.ndarray) -> bytes:
         rest[0, 1:] -= c[0, :-1]
         rest[0, 0] -= np.array([255, 0, 0, 0], dtype=np.uint8)
         argb = rest.view(">u4")[..., 0].astype(np.uint32)
+    text = w.n == 40  # no transform
     w.put(0, 1)
-    return contained(_put_image(w, argb, True))
+    return contained(_put_image(w, argb, True, text))
 
 
 def encode(pixels: np.ndarray) -> bytes:
