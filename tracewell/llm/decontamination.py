@@ -26,6 +26,9 @@ WORDS, SIMILARITY = 5, 0.8
 RADIUS = 23
 BLOCKS = 8
 MAX_STRIDE = 8
+#: Words of a text whose shingles are looked up together, a multiple of every stride; each row carries so many words and
+#: the longest item's on both sides, however long the text.
+CHUNK = 840
 #: Item shingles that are broadcast at once; a larger benchmark is searched in blocks of this many.
 BROADCAST_SHINGLES = 200_000
 
@@ -87,7 +90,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     start counts words from 0; ties go to the earliest window. Items that hold fewer words than a shingle, or none,
     can't be told from ordinary text and are left out. Null texts hold nothing. Rows that repeat a doc_id count as one
     document; null ids as one more. Items that repeat an id are all searched, the best wins. Extra columns are ignored;
-    empty tables give no rows.
+    empty tables give no rows. Long texts are searched whole, CHUNK words at a time.
     """
     items = benchmark.select("item_id", words_of("text").alias("words")).where(F.size("words") >= WORDS)
     items = items.select("item_id", F.size("words").alias("n"), shingles(F.col("words")).alias("hashes"))
@@ -99,20 +102,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     anchors = items.select("n", F.posexplode("hashes").alias("at", "hash")).groupBy("hash").agg(F.collect_set(F.struct("n", "at")).alias("places"))
     anchors = common.stored(anchors, "anchors")
     texts = docs.select("doc_id", words_of("text").alias("words")).where(F.size("words") >= WORDS)
-    looked = F.transform(F.sequence(F.lit(1), F.size("words") - (WORDS - 1), F.lit(stride)), lambda i: F.struct(i.alias("i"), shingle(F.col("words"), i).alias("hash")))
-    texts = texts.select("doc_id", "words", F.explode(looked).alias("x")).select("doc_id", "words", F.col("x.i").alias("i"), F.col("x.hash").alias("hash"))
+    longest = max(counts) + WORDS - 1
+    total_words = F.size("words")
+    chunks = F.transform(F.sequence(F.lit(0), total_words - WORDS, F.lit(CHUNK)), lambda c: F.struct(c.alias("from"), F.greatest(c - longest, F.lit(0)).alias("base")))
+    texts = texts.select("doc_id", "words", total_words.alias("total"), F.explode(chunks).alias("c"))
+    texts = texts.select("doc_id", "total", F.col("c.from").alias("from"), F.col("c.base").alias("base"), F.slice("words", F.col("c.base") + 1, F.lit(CHUNK + 2 * longest + WORDS)).alias("words"))
+    looked = F.transform(F.sequence(F.col("from") + 1, F.least(F.col("from") + CHUNK, F.col("total") - (WORDS - 1)), F.lit(stride)), lambda i: F.struct(i.alias("i"), shingle(F.col("words"), i - F.col("base")).alias("hash")))
+    texts = texts.select("doc_id", "total", "base", "words", F.explode(looked).alias("x")).select("doc_id", "total", "base", "words", F.col("x.i").alias("i"), F.col("x.hash").alias("hash"))
     total = anchors.count()
     parts = max(1, -(-total // BROADCAST_SHINGLES))
     windows = None
     for part in range(parts):
         some = anchors if parts == 1 else anchors.where(F.pmod(F.xxhash64("hash", F.lit(7)), F.lit(parts)) == part)
-        hit = texts.join(F.broadcast(some), "hash").select("doc_id", "words", "i", F.explode("places").alias("p"))
+        hit = texts.join(F.broadcast(some), "hash").select("doc_id", "total", "base", "words", "i", F.explode("places").alias("p"))
         begin, end = F.col("i") - F.col("p.at"), F.col("i") - F.col("p.at") + F.col("p.n") - 1
-        moved = F.greatest(F.least(begin, F.size("words") - F.col("p.n") + 1), F.lit(1))
+        moved = F.greatest(F.least(begin, F.col("total") - F.col("p.n") + 1), F.lit(1))
         # a window beyond the text's ends is taken both cut there and moved inside; within the text the two are one
-        ways = F.array_distinct(F.array(*[F.struct(x.alias("start"), y.alias("end")) for x, y in ((F.greatest(begin, F.lit(1)), F.least(end, F.size("words"))), (moved, F.least(moved + F.col("p.n") - 1, F.size("words"))))]))
-        hit = hit.select("doc_id", "words", F.col("p.n").alias("n"), F.explode(ways).alias("x"))
-        hit = hit.select("doc_id", "n", (F.col("x.start") - 1).alias("start"), F.slice("words", F.col("x.start"), F.col("x.end") - F.col("x.start") + 1).alias("window"))
+        ways = F.array_distinct(F.array(*[F.struct(x.alias("start"), y.alias("end")) for x, y in ((F.greatest(begin, F.lit(1)), F.least(end, F.col("total"))), (moved, F.least(moved + F.col("p.n") - 1, F.col("total"))))]))
+        hit = hit.select("doc_id", "base", "words", F.col("p.n").alias("n"), F.explode(ways).alias("x"))
+        hit = hit.select("doc_id", "n", (F.col("x.start") - 1).alias("start"), F.slice("words", F.col("x.start") - F.col("base"), F.col("x.end") - F.col("x.start") + 1).alias("window"))
         windows = hit if windows is None else windows.unionByName(hit)
     # what is shorter than an item by more than the similarity allows can't be near it
     fits = F.size("window") - (WORDS - 1) >= F.lit(similarity) * (F.col("n") - (WORDS - 1)) - 1e-9
