@@ -67,3 +67,16 @@ def test_stage_takes_the_similarity(spark):
     kept = corpus_pipeline.near_dedup(spark, docs, "")
     assert kept.columns == docs.columns
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted([(False, i) for i in set(brute(data)[0].values())] + [(True, 0)])
+
+
+def test_counts_never_refuse_what_is_alike():
+    """The bound from counts against the true similarity of random pairs of sets."""
+    rng = np.random.default_rng(11)
+    pairs = []
+    for _ in range(400):
+        both, a, b = (rng.integers(0, 1 << 63, int(k), dtype=np.uint64) for k in (rng.integers(1, 300), rng.integers(0, 60), rng.integers(0, 60)))
+        pairs.append((np.unique(np.concatenate((both, a))), np.unique(np.concatenate((both, b)))))
+    x, y = (np.frombuffer(b"".join(neardup.counts_of(p[k]) for p in pairs), dtype=np.uint8).reshape(-1, neardup.PARTS) for k in (0, 1))
+    said = neardup.possible(x, y, np.array([len(p[0]) for p in pairs]), np.array([len(p[1]) for p in pairs]), 0.8)
+    true = np.array([len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for a, b in pairs])
+    assert said[true >= 0.8].all() and not said[true < 0.5].any()

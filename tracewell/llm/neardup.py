@@ -1,11 +1,13 @@
 """Near copies by SimHash, verified by the similarity of their five-word shingles.
 
 Candidates are pairs of texts whose fingerprints, taken over the set of a text's shingles, differ in at most RADIUS bits,
-found by simhash's parts, thresholds and lookups, 14 being over the mean by one and a half standard deviations. Those whose shingle sets have a Jaccard similarity of 0.8 or more are
-linked, no others. Two sets of that similarity are expected to differ in 9.7 of 64 bits (standard deviation 2.9), fewer the more alike they are.
+found by simhash's parts, thresholds and lookups. Those whose shingle sets have a Jaccard similarity of 0.8 or more are linked, no others. Two sets
+of that similarity are expected to differ in 9.7 of 64 bits, with a standard deviation of 2.9, and in fewer the more
+alike they are; 14 is one and a half deviations more.
 
-Of a run of texts that are all near one another, not all pairs are candidates: texts already linked to one another need
-not be compared. A few rounds compare each text with some of the others, and then all that are still apart are compared.
+Where a run of texts is dense, most of them within the radius of one another, each is first compared with its nearest
+one alone. Then its texts are searched again, and pairs of different components are compared unless counts of their
+shingles show that they can't be alike, so that a large group of near copies is never compared pair by pair.
 """
 
 from __future__ import annotations
@@ -21,9 +23,10 @@ from pyspark.sql import functions as F
 from . import common, simhash
 
 WORDS, SIMILARITY, RADIUS = 5, 0.8, 14
-#: A run with more pairs within the radius than FLOOR and DENSE for each of its entries is dense: its rows are compared
-#: with some of the others in ROUNDS rounds first.
-DENSE, FLOOR, ROUNDS = 16, 1000, 3
+#: A run with more pairs within the radius than FLOOR and DENSE for each of its entries is dense.
+DENSE, FLOOR = 1, 32
+#: Parts of the hashes whose shingles are counted; the counts bound what two sets have in common, however they fall.
+PARTS = 128
 #: Numbers compared at once.
 CELLS = 1 << 20
 
@@ -39,105 +42,119 @@ def set_id(hashes: np.ndarray) -> int:
     return h - (h >> 63 << 64)
 
 
+def counts_of(hashes: np.ndarray) -> bytes:
+    """How many of the hashes fall into each part; 255 stands for any more."""
+    return np.minimum(np.bincount((hashes % np.uint64(PARTS)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes()
+
+
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, sizes, fps, held, n = [], [], [], [], 0
+        ids, sizes, fps, counts, held, n = [], [], [], [], [], 0
         for text in batch.column(1):
             s = shingle_set(text.as_py())
             ids.append(set_id(s))
             sizes.append(len(s))
+            counts.append(counts_of(s))
             held.append(s)
             n += len(s)
             if n > 100_000:
                 fps.append(simhash.fold(held))
                 held, n = [], 0
         fps.append(simhash.fold(held))
-        yield pa.record_batch([batch.column(0), batch.column(2), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.concatenate(fps).view(np.int64))], names=["doc_id", "h", "sid", "n", "fp"])
+        yield pa.record_batch([batch.column(0), batch.column(2), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.concatenate(fps).view(np.int64)), pa.array(counts, pa.binary())], names=["doc_id", "h", "sid", "n", "fp", "counts"])
+
 
+def possible(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets with these counts (a row each) can have the similarity."""
+    most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+    return (most * (1 + similarity) >= similarity * (nx.astype(np.int64) + ny) - 1e-6) | ((x == 255) & (y == 255)).any(axis=1)
 
-def _compare(x: dict[str, np.ndarray], y: dict[str, np.ndarray], radius: int, similarity: float, triangle: bool, most: float, seed: int) -> tuple[list[np.ndarray], list[np.ndarray], bool]:
-    """Pairs of x and y (both by ascending n) within the radius, of sizes that allow the similarity and of different
-    labels; with triangle, x is y and pairs count once. Beyond `most` pairs, three for each x at most, and True."""
-    a, b, found, dense, at = [], [], 0, False, 0
+
+def _compare(x: dict[str, np.ndarray], y: dict[str, np.ndarray], radius: int, similarity: float, triangle: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places in x, places in y, distances), x by x, of pairs within the radius, of sizes that allow the similarity and of
+    different labels; both go by ascending n. With triangle, x is y and pairs count once."""
+    at = 0
     while at < len(x["n"]):
         lo = int(np.searchsorted(y["n"], np.ceil(similarity * x["n"][at] - 1e-9)))
         to = at + max(1, min(4096, CELLS // max(1, len(y["n"]) - lo)))
-        p = {c: v[at:to] for c, v in x.items()}
-        hi = int(np.searchsorted(y["n"], p["n"][-1] / similarity + 1e-9, side="right"))
-        hi = min(hi, at + len(p["n"])) if triangle else hi
+        n, fp = x["n"][at:to], x["fp"][at:to]
+        hi = int(np.searchsorted(y["n"], n[-1] / similarity + 1e-9, side="right"))
+        hi = min(hi, at + len(n)) if triangle else hi
         if lo < hi:
-            q = {c: v[lo:hi] for c, v in y.items()}
-            near = np.bitwise_count(p["fp"][:, None] ^ q["fp"][None, :]) <= radius
+            far = np.bitwise_count(fp[:, None] ^ y["fp"][None, lo:hi])
+            near = far <= radius
             if triangle:
-                near &= np.arange(lo, hi)[None, :] < np.arange(at, at + len(p["n"]))[:, None]
+                near &= np.arange(lo, hi)[None, :] < np.arange(at, at + len(n))[:, None]
             i, j = np.nonzero(near)
             if len(i):
-                small, large = np.minimum(p["n"][i], q["n"][j]), np.maximum(p["n"][i], q["n"][j])
-                ok = (p["label"][i] != q["label"][j]) & (small >= similarity * large - 1e-9)
-                i, j = i[ok], j[ok]
-                found += len(i)
-                if found > most and len(i):
-                    dense = True
-                    # i ascends: of each x the first, the last and one between
-                    first = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
-                    size = np.diff(np.concatenate((first, [len(i)])))
-                    some = np.unique(np.concatenate((first, first + size - 1, first + (_mixed(p["rep"][i[first]], seed) % size.astype(np.uint64)).astype(np.int64))))
-                    i, j = i[some], j[some]
-                a.append(p["rep"][i])
-                b.append(q["rep"][j])
-        at += len(p["n"])
-    return a, b, dense
-
-
-def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
-    z = (x.view(np.uint64) + np.uint64(seed + 1)) * np.uint64(0x9E3779B97F4A7C15)
-    return z ^ (z >> np.uint64(32))
+                d = far[i, j]
+                i, j = i + at, j + lo
+                small, large = np.minimum(x["n"][i], y["n"][j]), np.maximum(x["n"][i], y["n"][j])
+                ok = (x["label"][i] != y["label"][j]) & (small >= similarity * large - 1e-9)
+                if ok.any():
+                    yield i[ok], j[ok], d[ok]
+        at += len(n)
 
 
 _RUN = ["part", "sig", "salt", "role", "block", "n", "fp", "rep", "label"]
 
 
-def _pairs(radius: int, similarity: float, dense: float, seed: int):
-    """Of runs in order: candidate pairs (a, b), and a row (null, null, part, sig, salt) for each dense run."""
+def _pairs(radius: int, similarity: float, dense: int | None):
+    """Of runs in order: candidate pairs (a, b). With dense, a dense run gives each entry's nearest one and (a, null) for
+    all that have a near one; without, every pair that the counts, a column more, allow."""
+    names = _RUN if dense is not None else [*_RUN, "counts"]
 
-    def close(t: dict[str, np.ndarray]) -> tuple[list, list, bool]:
+    def close(t: dict[str, np.ndarray]) -> tuple[list, list, list]:
         entry = t["role"] == 0
-        most = dense * int(entry.sum()) + FLOOR
-        e = {c: t[c][entry] for c in ("n", "fp", "rep", "label")}
-        block = t["block"][entry]
+        e, look = {c: v[entry] for c, v in t.items()}, {c: v[~entry] for c, v in t.items()}
+        block = e["block"]
         if len(block) and block.min() != block.max():
             one = block == block.min()
-            return _compare({c: v[~one] for c, v in e.items()}, {c: v[one] for c, v in e.items()}, radius, similarity, False, most, seed)
-        a, b, d = _compare(e, e, radius, similarity, True, most, seed)
-        a2, b2, d2 = _compare({c: t[c][~entry] for c in e}, e, radius, similarity, False, most, seed)
-        return a + a2, b + b2, d or d2
+            sides = [({c: v[~one] for c, v in e.items()}, {c: v[one] for c, v in e.items()}, False, True)]
+        else:
+            sides = [(e, e, True, True), (look, e, False, False)]
+        most = None if dense is None else dense * len(block) + FLOOR
+        a, b, marks, found = [], [], [], 0
+        for x, y, triangle, entries in sides:
+            for i, j, d in _compare(x, y, radius, similarity, triangle):
+                found += len(i)
+                if most is None:
+                    ok = possible(x["counts"][i], y["counts"][j], x["n"][i], y["n"][j], similarity)
+                    i, j = i[ok], j[ok]
+                elif found > most or marks:
+                    marks += [np.unique(x["rep"][i]), np.unique(y["rep"][j])]
+                    order = np.lexsort((d, i))
+                    first = order[np.concatenate(([True], i[order][1:] != i[order][:-1]))]
+                    i, j = (i[first], j[first]) if entries else (i[:0], j[:0])
+                a.append(x["rep"][i])
+                b.append(y["rep"][j])
+        if marks:  # what was given before the run was known to be dense may be a part of its pairs
+            marks += a + b
+        return a, b, marks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
         out: tuple[list, list, list] = ([], [], [])
 
         def flush() -> pa.RecordBatch:
-            a, b = (np.concatenate([*x, np.empty(0, dtype=np.int64)]) for x in out[:2])
-            pair = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
-            k, m = len(pair), len(out[2])
-            marks = [pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array([int(r[i]) for r in out[2]], pa.int64())]) for i in range(3)]
+            a, b, m = (np.concatenate([*x, np.empty(0, dtype=np.int64)]) for x in out)
+            pair, m = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0), np.unique(m)
             for x in out:
                 x.clear()
-            return pa.record_batch([*(pa.concat_arrays([pa.array(np.ascontiguousarray(pair[:, i])), pa.nulls(m, pa.int64())]) for i in range(2)), *marks], names=["a", "b", "part", "sig", "salt"])
+            return pa.record_batch([pa.array(np.concatenate((pair[:, 0], m))), pa.concat_arrays([pa.array(np.ascontiguousarray(pair[:, 1])), pa.nulls(len(m), pa.int64())])], names=["a", "b"])
 
         def take(t: dict[str, np.ndarray]) -> None:
-            a, b, d = close(t)
-            out[0].extend(a)
-            out[1].extend(b)
-            if d:
-                out[2].append((t["part"][0], t["sig"][0], t["salt"][0]))
+            for x, more in zip(out, close(t), strict=True):
+                x.extend(more)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             t = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in _RUN}
             t["fp"] = t["fp"].view(np.uint64)  # bitwise_count takes the absolute value of signed numbers
-            t = {c: np.concatenate((held[c], t[c])) for c in _RUN} if held else t
+            if dense is None:
+                t["counts"] = np.frombuffer(b"".join(batch.column("counts").to_pylist()), dtype=np.uint8).reshape(-1, PARTS)
+            t = {c: np.concatenate((held[c], t[c])) for c in names} if held else t
             change = np.flatnonzero((t["part"][1:] != t["part"][:-1]) | (t["sig"][1:] != t["sig"][:-1]) | (t["salt"][1:] != t["salt"][:-1])) + 1
             edges = [0, *change.tolist()]
             entries = np.concatenate(([0], np.cumsum(t["role"] == 0)))
@@ -173,21 +190,14 @@ def cluster(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIU
     one fingerprint, and is never cut.
     """
     keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
-    rows = common.stored(keyed.mapInArrow(_described, "doc_id long, h long, sid long, n int, fp long"), "described")
-    sets = common.stored(rows.groupBy("sid").agg(F.min(F.struct("doc_id", "h")).alias("r"), F.first("n").alias("n"), F.first("fp").alias("fp")).select("sid", "r.*", "n", "fp"), "sets")
-    parts = simhash.plan(*simhash.bit_stats(sets), radius)
-
-    def candidates(labels: DataFrame | None, only: DataFrame | None, turn: int) -> DataFrame:
-        fps = sets.select("fp", F.col("sid").alias("rep"), "n")
-        if labels is None:
-            fps = fps.withColumn("label", F.col("rep"))
-        else:
-            fps = fps.join(labels, F.col("rep") == F.col("node"), "left").select("fp", "rep", "n", F.coalesce("component", "rep").alias("label"))
-        runs = simhash.dealt(fps, parts, carry=("n", "label"))
-        if only is not None:
-            runs = runs.join(common.bounded(only), ["part", "sig", "salt"], "left_semi")
-        ordered = runs.select(*_RUN).repartition("part", "sig", "salt").sortWithinPartitions("part", "sig", "salt", "role", "n")
-        return common.stored(ordered.mapInArrow(_pairs(radius, similarity, float("inf") if turn == ROUNDS else dense, turn), "a long, b long, part long, sig long, salt long"), "candidates")
+    rows = common.stored(keyed.mapInArrow(_described, "doc_id long, h long, sid long, n int, fp long, counts binary"), "described")
+    sets = common.stored(rows.groupBy("sid").agg(F.min(F.struct("doc_id", "h")).alias("r"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("counts").alias("counts")).select("sid", "r.*", "n", "fp", "counts"), "sets")
+
+    def candidates(fps: DataFrame, limit: int | None) -> DataFrame:
+        carry = ("n", "label") if limit is not None else ("n", "label", "counts")
+        runs = simhash.dealt(fps, simhash.plan(*simhash.bit_stats(fps), radius), carry=carry)
+        ordered = runs.repartition("part", "sig", "salt").sortWithinPartitions("part", "sig", "salt", "role", "n")
+        return common.stored(ordered.mapInArrow(_pairs(radius, similarity, limit), "a long, b long"), "candidates")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = common.stored(pairs, "pairs")
@@ -200,15 +210,16 @@ def cluster(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIU
         both = pairs.join(left, "a").join(right, "b").withColumn("k", F.size(F.array_intersect("x", "y")))
         return common.stored(both.where(F.col("k") >= F.lit(similarity) * (F.size("x") + F.size("y") - F.col("k")) - 1e-9).select("a", "b"), "near")
 
-    near = comp = only = None
-    for turn in range(ROUNDS + 1):
-        found = candidates(comp, only, turn)
-        more = verified(found.where("a is not null").select("a", "b").distinct())
-        near = more if near is None else common.stored(near.unionByName(more), "near")
+    found = candidates(sets.select("fp", F.col("sid").alias("rep"), "n", F.col("sid").alias("label")), dense)
+    near = verified(found.where("b is not null").distinct())
+    comp = common.components(near)
+    left = found.where("b is null").select(F.col("a").alias("sid")).distinct()
+    if left.limit(1).count():
+        again = sets.join(left, "sid", "left_semi").join(comp, F.col("sid") == F.col("node"), "left")
+        again = common.stored(again.select("fp", F.col("sid").alias("rep"), "n", F.coalesce("component", "sid").alias("label"), "counts"), "dense")
+        more = verified(candidates(again, None).distinct())
+        near = common.stored(near.unionByName(more), "near")
         comp = common.components(near)
-        only = found.where("a is null").select(F.col("part").cast("int").alias("part"), "sig", F.col("salt").cast("int").alias("salt")).distinct()
-        if not only.limit(1).count():
-            break
     rows = rows.select("doc_id", "sid").join(comp.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", F.coalesce("component", "sid").alias("c"))
     rows = common.stored(rows, "members")
     return rows.join(rows.groupBy("c").agg(F.min("doc_id").alias("component_id")), "c").select("doc_id", "component_id")
