@@ -81,7 +81,7 @@ def test_levels_give_the_same_slots(spark):
     from tracewell.plans.column_queries import project
 
     rows = lambda df: sorted(map(str, df.drop("slot").collect()))
-    assert rows(columns.slots(project(spark), "duckdb", 0)) == rows(columns.slots(project(spark), "duckdb"))
+    assert rows(columns.slots(project(spark, "/root/testdata/sf0.001"), "duckdb", 0)) == rows(columns.slots(project(spark, "/root/testdata/sf0.001"), "duckdb"))
 
 
 def test_selectors(spark):

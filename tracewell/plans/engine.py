@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import storage
-from tracewell.operators import closure, columns, impact, select, subgraph
+from tracewell.operators import closure, columns, gaps, impact, select, subgraph
+from tracewell.project import build, scan
 from tracewell.sources import manifest
 
 
@@ -23,6 +24,14 @@ class LineageEngine:
         adapter = m.select("metadata.adapter_type").first()
         return cls(spark, storage.stored(manifest.nodes(m), "nodes"), storage.stored(manifest.edges(m), "edges"), manifest.models(m), dialect or (adapter[0] if adapter else None))
 
+    @classmethod
+    def from_project(cls, spark: SparkSession, root: str, dialect: str | None = None) -> LineageEngine:
+        """From a project's SQL and YAML files. Templates aren't rendered, so there are no models to trace columns in."""
+        p = build.build(spark, scan.files(spark, root))
+        e = cls(spark, p.nodes, p.edges, None, dialect)
+        e.reasons = p.reasons
+        return e
+
     def register(self) -> None:
         """Temporary views nodes, edges and, with models, slots."""
         self.nodes.createOrReplaceTempView("nodes")
@@ -59,13 +68,25 @@ class LineageEngine:
         return nodes.join(select.search(nodes, patterns).withColumnRenamed("node", "unique_id"), "unique_id", "left_semi") if patterns else nodes
 
     def summary(self) -> DataFrame:
-        return select.summary(self.nodes)
+        return select.summary(self.nodes, self.edges)
 
     def slots(self) -> DataFrame:
         if self._slots is None:
             self._slots = columns.slots(self.models, self.dialect)
         return self._slots
 
+    def column_paths(self, model: str, names: list[str] | None = None, direction: str = "up") -> DataFrame:
+        """(root, node, path, transform) of a model's columns, by id or short name; ValueError where it can't be told."""
+        if self.models is None:
+            raise ValueError("columns need a compiled manifest")
+        hits = [r.uid for r in self.models.where((F.col("uid") == model) | F.col("uid").endswith("." + model)).select("uid").distinct().limit(10).collect()]
+        hits = [model] if model in hits else hits
+        if len(hits) != 1:
+            raise ValueError(f"{model} stands for {len(hits)} models: {', '.join(sorted(hits))}")
+        roots = self.slots().where((F.col("uid") == hits[0]) & F.col("key").isNotNull())
+        roots = roots if not names else roots.where(F.lower("key").isin([n.lower() for n in names]))
+        return gaps.paths(self.slots(), roots.select(columns.node().alias("node")).distinct(), direction)
+
     def column_upstream(self, uid: str, column: str | None = None) -> DataFrame:
         roots = self.slots().where((F.col("uid") == uid) & F.col("key").isNotNull())
         roots = roots if column is None else roots.where(F.lower("key") == column.lower())

@@ -71,6 +71,8 @@ def pieces(text: str) -> list[tuple[str, object]]:
     out: list[tuple[str, object]] = []
     at = 0
     while m := _PIECE.search(text, at):
+        if "{#" in text[at : m.start()]:
+            raise TemplateError("a comment isn't closed")
         if m.start() > at:
             out.append(("text", text[at : m.start()]))
         at = m.end()

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +78,61 @@ def models(m: DataFrame) -> DataFrame:
     a = n.select("uid", F.col("n.resource_type").alias("kind"), parts(F.coalesce("n.alias", "n.name")).alias("relation"), F.coalesce(F.map_keys("n.columns"), F.array().cast("array<string>")).alias("columns"), F.col("n.compiled_code").alias("sql"), F.coalesce("n.depends_on.nodes", F.array().cast("array<string>")).alias("depends_on"))
     b = _each(m, "sources").select("uid", F.lit("source").alias("kind"), parts(F.coalesce("n.identifier", "n.name")).alias("relation"), F.coalesce(F.map_keys("n.columns"), F.array().cast("array<string>")).alias("columns"), F.lit(None).cast("string").alias("sql"), F.array().cast("array<string>").alias("depends_on"))
     return a.unionByName(b)
+
+
+#: The kinds of node, the sections a manifest has, and the newest schema that is known.
+SECTIONS = {"nodes": {"model", "seed", "snapshot", "test", "analysis", "operation", "sql_operation", "rpc", "unit_test"}, "sources": {"source"}, "exposures": {"exposure"}, "semantic_models": {"semantic_model"}, "metrics": {"metric"}, "saved_queries": {"saved_query"}}
+NEWEST = 12
+
+
+def read_text(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text) of each manifest file at the path."""
+    return spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("text"))
+
+
+def diagnostics(texts: DataFrame) -> DataFrame:
+    """(path, level, what, why, hint) of manifests (path, text): unreadable JSON and a missing section are errors; a newer
+    schema, kinds that aren't known, entries without an id and dependencies that aren't there are warnings."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(p, *x) for p, t in zip(b["path"], b["text"], strict=True) for x in _diagnosed(t)]
+            yield pd.DataFrame(rows, columns=["path", "level", "what", "why", "hint"])
+
+    return texts.mapInPandas(run, "path string, level string, what string, why string, hint string")
+
+
+def _diagnosed(text: str) -> list[tuple[str, str, str, str]]:
+    try:
+        m = json.loads(text)
+    except ValueError as e:
+        return [("error", "manifest", f"not JSON: {e}", "compile the project again")]
+    if not isinstance(m, dict):
+        return [("error", "manifest", "not an object", "compile the project again")]
+    out = []
+    version = re.search(r"/v(\d+)\.json", str((m.get("metadata") or {}).get("dbt_schema_version", "")))
+    if version and int(version[1]) > NEWEST:
+        out.append(("warning", "metadata", f"schema v{version[1]} is newer than v{NEWEST}", "fields that are not known are passed over"))
+    ids = {k for s in SECTIONS for k in (m.get(s) or {})}
+    for section, kinds in SECTIONS.items():
+        if section in ("nodes", "sources") and section not in m:
+            out.append(("error", section, "missing", "compile the project again"))
+        for uid, n in (m.get(section) or {}).items():
+            if not isinstance(n, dict):
+                out.append(("warning", uid, "not an object", "the entry is left out"))
+                continue
+            kind = n.get("resource_type", uid.split(".")[0])
+            if kind not in kinds:
+                out.append(("warning", uid, f"unknown kind {kind}", "the entry is left out"))
+            if "name" not in n:
+                out.append(("warning", uid, "no name", "the entry is shown by its id"))
+            out += [("warning", uid, f"depends on {d}, which isn't there", "the edge is left out") for d in (n.get("depends_on") or {}).get("nodes") or [] if d not in ids]
+    return out
+
+
+def strict(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest as `read` gives it; ValueError for anything diagnostics finds."""
+    found = diagnostics(read_text(spark, path)).limit(20).collect()
+    if found:
+        raise ValueError("; ".join(f"{r.what}: {r.why}" for r in found))
+    return read(spark, path)
