@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from tracewell.functions import schema
 from tracewell.functions.patterns import glob_regex
 from tracewell.operators import closure, impact, select, subgraph
-from tracewell.sources import fixture
+from tracewell.plans import render
+from tracewell.sources import fixture, manifest
+from tracewell.sql import dialects
 
 Query = Callable[[SparkSession, str], DataFrame]
 START = "seed.tpch.nation_3"
@@ -295,3 +297,47 @@ def exposure_paths(spark, sf_dir):
 def exposure_truncated(spark, sf_dir):
     nodes, edges = fixture.graph(spark, sf_dir)
     return impact.exposure_paths(nodes, edges, ids(spark, ["model.tpch.supplier_5"]))[1]
+
+
+def _shown(alias: str) -> str:
+    prefix = " ".join(f"WHEN '{k}' THEN '{p}'" for k, p in schema.NODE_KINDS.items())
+    return f"CASE {alias}.node_type {prefix} ELSE '' END || {alias}.label"
+
+
+@query(f"WITH {_BASE} SELECT {_shown('a')} || ' -> ' || {_shown('b')} || ' [' || edge_type || ']' AS line FROM edges JOIN nodes a ON a.unique_id = src JOIN nodes b ON b.unique_id = dst WHERE b.node_type = 'test'")
+def render_plain(spark, sf_dir):
+    nodes = fixture.nodes(spark, sf_dir)
+    tests = nodes.where("node_type = 'test'").select(F.col("unique_id").alias("dst"))
+    return render.plain_lines(nodes, fixture.edges_sql(spark, sf_dir).join(tests, "dst", "left_semi").withColumn("collapsed_through", F.lit(None).cast("int")))
+
+
+@query(f"WITH {_BASE} SELECT node_type || chr(9) || label AS value FROM nodes WHERE node_type IN ('seed', 'exposure')")
+def render_listing(spark, sf_dir):
+    return render.listing(fixture.nodes(spark, sf_dir).where("node_type in ('seed', 'exposure')"))
+
+
+@query(f"WITH {_BASE} SELECT unique_id, '{{\"unique_id\":\"' || unique_id || '\",\"label\":\"' || label || '\",\"node_type\":\"' || node_type || '\"}}' AS value FROM nodes WHERE node_type IN ('seed', 'source')")
+def render_json_nodes(spark, sf_dir):
+    nodes = fixture.nodes(spark, sf_dir).where("node_type in ('seed', 'source')")
+    return nodes.select("unique_id", F.to_json(F.struct("unique_id", "label", "node_type")).alias("value"))
+
+
+#: A manifest for each supplier, by the key's remainder: sound, not JSON, of a newer schema with a kind and an edge that nothing knows.
+_MANIFEST = """SELECT 'm' || CAST(s_suppkey AS STRING) AS path, CASE s_suppkey % 3 WHEN 0 THEN '{"nodes": {}, "sources": {}}' WHEN 1 THEN '{"nodes": ' ELSE '{"metadata": {"dbt_schema_version": "x/v40.json"}, "sources": {}, "nodes": {"model.p.m' || CAST(s_suppkey AS STRING) || '": {"name": "m", "resource_type": "model", "depends_on": {"nodes": ["model.p.no"]}}, "odd.p.x": {"name": "x", "resource_type": "odd"}}}' END AS text FROM {supplier}"""
+
+
+@query("""SELECT 'm' || s_suppkey AS path, level, replace(what, '{k}', CAST(s_suppkey AS VARCHAR)) AS what FROM supplier JOIN (VALUES (1, 'error', 'manifest'), (2, 'warning', 'metadata'), (2, 'warning', 'model.p.m{k}'), (2, 'warning', 'odd.p.x')) v(r, level, what) ON s_suppkey % 3 = r""")
+def manifest_diagnostics(spark, sf_dir):
+    # braces of the text aren't the statement's parameters
+    texts = spark.sql(_MANIFEST.replace("{", "{{").replace("}", "}}").replace("{{supplier}}", "{supplier}"), supplier=spark.read.parquet(f"{sf_dir}/supplier.parquet"))
+    return manifest.diagnostics(texts).select("path", "level", "what")
+
+
+_DIALECTS = [("sqlserver", "tsql"), ("PostgreSQL", "postgres"), ("athena", "trino"), ("snowflake", "snowflake"), ("materialize", "postgres"), ("oracle", "generic"), ("", "generic")]
+
+
+@query(f"SELECT s_suppkey % {len(_DIALECTS)} AS k, dialect, CAST(count(*) AS BIGINT) AS n FROM (SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey FROM supplier) s JOIN (VALUES {', '.join(f'({i}, {d!r})' for i, (_, d) in enumerate(_DIALECTS))}) v(i, dialect) ON s_suppkey % {len(_DIALECTS)} = i GROUP BY ALL")
+def dialect_detect(spark, sf_dir):
+    k = spark.read.parquet(f"{sf_dir}/supplier.parquet").select((F.col("s_suppkey").cast("long") % len(_DIALECTS)).alias("k"))
+    name = F.element_at(F.array(*[F.lit(n) for n, _ in _DIALECTS]), (F.col("k") + 1).cast("int"))
+    return k.select("k", dialects.column(name).alias("dialect")).groupBy("k", "dialect").agg(F.count("*").alias("n"))

@@ -57,3 +57,12 @@ def detect(name: str | None) -> Dialect:
     """The dialect of a name or adapter; generic for an unknown or missing one."""
     n = (name or "").lower()
     return DIALECTS.get(n) or DIALECTS.get(ADAPTERS.get(n, ""), DIALECTS["generic"])
+
+
+def column(name):
+    """`detect` as a column expression over a column of names."""
+    from pyspark.sql import functions as F
+
+    low = F.lower(F.coalesce(name, F.lit("")))
+    known = F.create_map(*[F.lit(x) for n in dict.fromkeys([*DIALECTS, *ADAPTERS]) for x in (n, detect(n).name)])
+    return F.coalesce(F.try_element_at(known, low), F.lit("generic"))
