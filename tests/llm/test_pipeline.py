@@ -38,3 +38,34 @@ def test_stages(spark, tmp_path):
     for s in range(16):
         slots = sorted(r.slot for r in now.where(f"shard = {s}").collect())
         assert slots == list(range(len(slots)))
+
+
+def test_stages_hold_odd_tables(spark, tmp_path):
+    """Empty tables, repeated rows, nulls and columns named like the operators' own, through every stage."""
+    sf = str(tmp_path / "sf")
+    rows = [(i, "the and " + text(i, 30), "en", "ab"[i % 2], 7, f"mine {i}", True) for i in range(30)]
+    rows += [rows[3], rows[3], (None, "the and " + text(77, 20), None, None, None, "null id", None), (90, None, None, None, 1, "null text", False)]
+    names = "doc_id long, text string, lang string, source string, size int, shard string, taken boolean"
+    spark.createDataFrame([(1, text(5000, 30))], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    spark.createDataFrame([(i, int(i % 7 > 0), 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    given = {(r[0], r[5]): r for r in rows}
+    for name, stage in corpus_pipeline.STAGES:
+        for docs in (spark.createDataFrame(rows, names), spark.createDataFrame([], names)):
+            out = stage(spark, docs, sf)
+            got = out.collect()
+            if name != "sharding":
+                assert out.columns == docs.columns
+                assert all(tuple(r) == given[r.doc_id, r.shard] for r in got)
+            assert bool(got) == bool(docs.limit(1).count()) or name == "quality"
+            if name == "near-dedup" and got:
+                assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == [*((False, i) for i in range(30)), (False, 90), (True, 0)]
+            if name == "decontamination" and got:
+                assert len(got) == len(rows)
+            if name == "mixing" and got:
+                words = {}
+                for r in rows:
+                    words[r[3]] = words.get(r[3], 0) + len((r[1] or "").split())
+                taken = {}
+                for r in got:
+                    taken[r.source] = taken.get(r.source, 0) + len((r.text or "").split())
+                assert all(taken[k] <= 2 * words[k] for k in taken) and abs(sum(taken.values()) - 1.5 * sum(words.values())) < 60

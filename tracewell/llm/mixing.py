@@ -145,10 +145,12 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: documents it takes twice stand there twice, those it doesn't take are gone; columns as in docs."""
-    rows = mix(docs, **how)
+    """The mix itself: documents it takes twice stand there twice, those it doesn't take are gone; columns as in docs, those
+    too that are named like a result of mix."""
+    own = {c: f"kept column {i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "source")}
+    rows = mix(docs.withColumnsRenamed(own), **how)
     times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
-    return rows.withColumn("__times", times).where("__times > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)
+    return rows.withColumn("__times", times).where("__times > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), "__times"))).select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def op9_budget_fitting(spark: SparkSession, sf_dir: str) -> DataFrame:
