@@ -113,7 +113,7 @@ def reach_pairs(edges: DataFrame, roots: DataFrame, direction: str = "up", small
 def layers(edges: DataFrame, nodes: DataFrame, small: int | None = None) -> DataFrame:
     """(node, layer): the longest path from a root; layers of nodes on or after a cycle are null.
 
-    A round takes off the nodes that nothing left points to. nodes has one column, node.
+    A round takes off the nodes that wait for nothing, and counts them off at the nodes they point to. nodes has one column, node.
     """
     spark = edges.sparkSession
     pairs = _few(edges, small)
@@ -137,17 +137,18 @@ def layers(edges: DataFrame, nodes: DataFrame, small: int | None = None) -> Data
                             nxt.append(t)
             front, at = nxt, at + 1
         return spark.createDataFrame([(n, got.get(n)) for n in todo], "node string, layer int")
-    left = storage.stored(edges.select("src", "dst").distinct(), "layer-edges")
-    rest = storage.stored(nodes.select("node").distinct(), "layer-nodes")
+    hops = storage.stored(edges.select("src", "dst").distinct(), "layer-edges")
+    waits = hops.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("waits"))
+    rest = storage.stored(nodes.select("node").distinct().join(waits, "node", "left").select("node", F.coalesce("waits", F.lit(0)).cast("long").alias("waits")), "layer-nodes")
     out = storage.Levels(spark, "node string, layer int", "layers")
     at = 0
     while True:
-        roots, n = out.add(rest.join(left.select(F.col("dst").alias("node")), "node", "left_anti").select("node", F.lit(at).alias("layer")))
+        front, n = out.add(rest.where("waits = 0").select("node", F.lit(at).alias("layer")))
+        rest = rest.where("waits > 0")
         if not n:
             return out.all().union(rest.select("node", F.lit(None).cast("int")))
-        gone = storage.small(roots.select("node"), n)
-        rest = storage.stored(rest.join(gone, "node", "left_anti"), "layer-nodes")
-        left = storage.stored(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti"), "layer-edges")
+        met = hops.join(storage.small(front.select(F.col("node").alias("src")), n), "src").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("met"))
+        rest = storage.stored(rest.join(met, "node", "left").select("node", (F.col("waits") - F.coalesce("met", F.lit(0))).alias("waits")), "layer-nodes")
         at += 1
 
 
