@@ -18,6 +18,8 @@ from . import common, learn
 
 #: Labelled rows in training, at most; words and word beginnings with an embedding, at most. They bound the driver's work.
 MAX_TRAIN, MAX_VOCAB = 6000, 120_000
+#: Examples below which several starts are tried, and how many.
+FEW, STARTS = 1000, 7
 #: Word beginnings of these lengths are embedded too.
 HEADS = (4, 6)
 DIM, WIDTHS, FILTERS, EPOCHS, BATCH, RATE = 12, (1, 2, 3), 12, 4, 16, 0.01
@@ -117,8 +119,19 @@ def split_codes(codes: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def fit(examples: list[tuple[int, str, int]], epochs: int = EPOCHS) -> Model:
-    """Trains on three quarters of the examples and calibrates thresholds on the rest; the same examples give the same model."""
-    rng = np.random.default_rng(learn.SEED)
+    """Trains on three quarters of the examples and calibrates thresholds on the rest; the same examples give the same model.
+
+    Where there are fewer than FEW examples a single start may learn them by heart: of STARTS the one is kept that
+    ranks the calibration part best.
+    """
+    if len(examples) >= FEW:
+        return _fit(examples, epochs, learn.SEED)[0]
+    return max((_fit(examples, epochs, learn.SEED + k) for k in range(STARTS)), key=lambda m: m[1])[0]
+
+
+def _fit(examples: list[tuple[int, str, int]], epochs: int, seed: int) -> tuple[Model, float]:
+    """(model, area under the curve on the part that calibrates it)."""
+    rng = np.random.default_rng(seed)
     seen: dict[int, int] = {}
     for _, text, _ in examples:
         for w in {h for w in set(text.split()) for h in keys(w)} - {0}:
@@ -130,7 +143,7 @@ def fit(examples: list[tuple[int, str, int]], epochs: int = EPOCHS) -> Model:
     embedding[0] = 0
     model = Model(rows, embedding, [rng.normal(0, fan[w], (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS], np.zeros(FILTERS * len(WIDTHS), dtype=np.float32), rng.normal(0, 0.3, FILTERS * len(WIDTHS)).astype(np.float32), 0.0, np.zeros(len(LANGUAGES)))
     if not examples:
-        return model
+        return model, 0.5
     words = Words(rows)
     data = [(*words.numbers(t), y) for _, t, y in examples]
     sets = np.array(words.sets)
@@ -181,7 +194,7 @@ def fit(examples: list[tuple[int, str, int]], epochs: int = EPOCHS) -> Model:
         own = langs == k
         if truth[own].sum() >= 5 and (1 - truth[own]).sum() >= 5:
             model.thresholds[k] = best_threshold(logits[own], truth[own])
-    return model
+    return model, learn.auc(logits, truth)
 
 
 def best_threshold(logits: np.ndarray, y: np.ndarray) -> float:
