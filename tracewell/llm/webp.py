@@ -166,7 +166,7 @@ def _prefixed(w: np.ndarray, at: np.ndarray, symbol: np.ndarray) -> tuple[np.nda
 
 
 #: Bytes of an image whose every bit is looked at together.
-BLOCK = 1 << 15
+BLOCK = 1 << 12
 
 
 def _tokens(bits: Bits, codes: list[Code], total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -621,7 +621,7 @@ def _put_image(w: Writer, pixels: np.ndarray, main: bool, text: bool = False) ->
     for at, n, _ in found:
         single[at : at + n] = False
     cache, place = 0, None
-    if main and len(p) > SHARED and len(np.unique(p)) < 0.8 * len(p):
+    if main and len(p) > SHARED and len(np.unique(p)) < 0.5 * len(p):
         cache = CACHE
         slots = ((np.uint64(0x1E35A7BD) * p.astype(np.uint64) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - CACHE)).astype(np.int64)
         order = np.argsort(slots, kind="stable")
