@@ -1,4 +1,5 @@
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -111,3 +112,44 @@ def test_random_images(seed):
         argb[h // 2 :] = argb[: h - h // 2]
     back = webp.decode(webp.encode_argb(argb)).astype(np.uint32)
     assert (back[..., 3] << np.uint32(24) | back[..., 0] << np.uint32(16) | back[..., 1] << np.uint32(8) | back[..., 2] == argb).all()
+
+
+def test_long_codes_and_many_blocks():
+    """Codes of 15 bits in all channels, more than 64 bits a pixel can span; streams of several blocks; copies that move the cache."""
+    rng = np.random.default_rng(5)
+    often = [1, 1]
+    while len(often) < 16:
+        often.append(often[-1] + often[-2])
+    one = np.repeat(np.arange(16, dtype=np.uint32), often)
+    many = np.concatenate([rng.permutation(one) << np.uint32(8 * c) for c in range(4)]).reshape(4, -1).sum(axis=0, dtype=np.uint32)
+    assert webp._lengths(np.bincount(one)).max() == 15 and len(many) == 2583
+    few = rng.integers(0, 1 << 32, 700, dtype=np.uint32)[rng.integers(0, 700, 60_000)]
+    for at in range(0, 50_000, 5_000):
+        few[at + 3_000 : at + 3_400] = few[at + 100 : at + 500]
+        few[at + 4_000 : at + 4_300] = few[at + 4_000 - 7]
+    noise = rng.integers(0, 1 << 32, 50_000, dtype=np.uint32)
+    for x, width in ((many, 63), (few, 200), (noise, 500)):
+        media = webp.encode_argb(x.reshape(-1, width))
+        back = webp.decode(media).astype(np.uint32)
+        assert (back[..., 3] << np.uint32(24) | back[..., 0] << np.uint32(16) | back[..., 1] << np.uint32(8) | back[..., 2] == x.reshape(-1, width)).all()
+    assert len(media) > 2 * webp.BLOCK
+
+
+def test_cost_per_byte():
+    """Storing and reading back texts costs a bounded part of a plain loop's time over as many bytes, on any machine."""
+    rng = np.random.default_rng(7)
+    words = [bytes(rng.integers(97, 123, int(n), dtype=np.uint8)) for n in rng.integers(2, 11, 3000)]
+    payloads = []
+    for n in rng.integers(60, 1600, 150):
+        text = b" ".join(words[int(k)] for k in np.minimum(rng.zipf(1.2, n), 3000) - 1)
+        payloads.append(text + b"\0" * (-len(text) % 64))
+    size, ratios = sum(map(len, payloads)), []
+    for _ in range(5):
+        at = time.process_time()
+        for x in payloads:
+            assert webp.load_payload(webp.store_payload(x))[1] == x
+        cost, at = time.process_time() - at, time.process_time()
+        for _ in range(20):
+            sum(range(size))
+        ratios.append(20 * cost / (time.process_time() - at))
+    assert min(ratios) < 32, ratios  # 37 and more when every bit was looked at, 24 since

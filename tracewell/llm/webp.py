@@ -1,8 +1,8 @@
 """Lossless WebP (VP8L): a decoder for every feature of the format, and a writer that codes images by their content.
 
 The decoder reads prefix codes (simple and normal), meta prefix images, back-references and the colour cache, and
-inverts the predictor, cross-colour, subtract-green and palette transforms. Images with one group of codes are decoded
-with numpy: what would follow is worked out for every bit, then the symbols that are really there are walked through.
+inverts the predictor, cross-colour, subtract-green and palette transforms. Images with one group of codes are walked
+through symbol by symbol for their places alone; values, copies and cache hits are then worked out for all pixels at once.
 
 The writer uses a palette where there are few colours, the predictor where rows repeat the row above, back-references
 where runs of pixels repeat, and the colour cache where single pixels do; small images share one set of prefix codes,
@@ -12,7 +12,6 @@ larger ones get their own.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,6 +32,8 @@ PREDICTOR, CROSS_COLOR, SUBTRACT_GREEN, PALETTE = range(4)
 SIDE = 1 << 14
 #: Pixels in a row of a stored payload, which makes 64 bytes; a longer payload than SIDE rows goes into several images.
 ROW = 16
+#: Numbers of 15 bits, read from their other end.
+REVERSED = sum(((np.arange(1 << 15) >> k) & 1) << (14 - k) for k in range(15))
 
 
 class Bits:
@@ -59,33 +60,35 @@ class Code:
     def __init__(self, lengths: np.ndarray) -> None:
         used = np.flatnonzero(lengths)
         self.single = int(used[0]) if len(used) == 1 else -1
-        self.width, self.table = 0, [(0, self.single)]
+        self.width = 0
         self.lengths, self.symbols = np.zeros(1, dtype=np.int64), np.array([max(self.single, 0)])
         if len(used) < 2:
             if not len(used):
                 self.single = 0
+            self.finish()
             return
-        if sum(1 << (15 - int(lengths[s])) for s in used) != 1 << 15:
+        used = used[np.argsort(lengths[used], kind="stable")]
+        n = lengths[used].astype(np.int64)
+        if int((1 << (15 - n)).sum()) != 1 << 15:
             raise ValueError("a prefix code isn't complete")
-        self.width = int(lengths.max())
-        table: list[tuple[int, int]] = [(0, 0)] * (1 << self.width)
-        code = before = 0
-        for n, s in sorted((int(lengths[s]), int(s)) for s in used):
-            code <<= n - before
-            before = n
-            low = int(format(code, f"0{n}b")[::-1], 2)
-            table[low :: 1 << n] = [(n, s)] * len(range(low, len(table), 1 << n))
-            code += 1
-        self.table = table
-        both = np.array(table, dtype=np.int64)
-        self.lengths, self.symbols = both[:, 0].copy(), both[:, 1].copy()
+        self.width = int(n[-1])
+        # by the first bits read as a number, highest first, symbols fill the table in order
+        place = REVERSED[: 1 << self.width] >> (15 - self.width)
+        each = 1 << (self.width - n)
+        self.lengths, self.symbols = np.repeat(n, each)[place], np.repeat(used, each)[place]
+        self.finish()
+
+    def finish(self) -> None:
+        self.mask = (1 << self.width) - 1
+        #: Bits of the symbol: of a green code, 16 more for back-references and 32 more for cache places.
+        self.steps = (self.lengths + 16 * (self.symbols >= 256) + 16 * (self.symbols >= 280)).astype(np.uint8).tobytes()
 
     def read(self, bits: Bits) -> int:
         if self.single >= 0:
             return self.single
-        n, s = self.table[bits.peek(self.width)]
-        bits.at += n
-        return s
+        k = bits.peek(self.width)
+        bits.at += self.steps[k] & 15
+        return int(self.symbols[k])
 
 
 @lru_cache(64)
@@ -111,21 +114,33 @@ def read_code(bits: Bits, symbols: int) -> Code:
     if 0 <= of.single < 16:  # takes no bits
         lengths[:most] = of.single
         return _code(lengths.tobytes())
-    at, before = 0, 8
-    while at < symbols and most > 0:
+    data, place, table, steps, mask = bits.data, bits.at, of.symbols.tolist(), of.steps, of.mask
+    out, before = bytearray(), 8
+    while len(out) < symbols and most > 0:
         most -= 1
-        s = of.read(bits)
+        i = place >> 3
+        x = int.from_bytes(data[i : i + 4], "little") >> (place & 7)  # 25 bits or more; a symbol takes 14 at most
+        s, n = table[x & mask], steps[x & mask]
+        x >>= n
         if s < 16:
-            lengths[at] = s
+            out.append(s)
             before = s or before
-            at += 1
-            continue
-        value, n = (before, 3 + bits.read(2)) if s == 16 else (0, 3 + bits.read(3)) if s == 17 else (0, 11 + bits.read(7))
-        if at + n > symbols:
-            raise ValueError("code lengths run over")
-        lengths[at : at + n] = value
-        at += n
-    return _code(lengths.tobytes())
+        elif s == 16:
+            out += bytes([before]) * (3 + (x & 3))
+            n += 2
+        elif s == 17:
+            out += bytes(3 + (x & 7))
+            n += 3
+        else:
+            out += bytes(11 + (x & 127))
+            n += 7
+        place += n
+    if len(out) > symbols:
+        raise ValueError("code lengths run over")
+    bits.at = place
+    if place > 8 * len(data):
+        raise ValueError("the image ends early")
+    return _code(bytes(out) + bytes(symbols - len(out)))
 
 
 def _value(bits: Bits, prefix: int) -> int:
@@ -158,15 +173,8 @@ def _group(bits: Bits, cache: int) -> list[Code]:
     return codes
 
 
-def _prefixed(w: np.ndarray, at: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(values, bits of their extra part) of prefix symbols whose extra bits begin at `at`, w being 24 bits from each place."""
-    extra = np.where(symbol < 4, 0, (symbol - 2) >> 1)
-    more = w[at] & ((1 << extra) - 1)
-    return np.where(symbol < 4, symbol + 1, ((2 + (symbol & 1)) << extra) + more + 1), extra
-
-
-#: Bytes of an image whose every bit is looked at together.
-BLOCK = 1 << 12
+#: Bytes of an image whose symbols are walked through together.
+BLOCK = 1 << 15
 
 
 def _tokens(bits: Bits, codes: list[Code], total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -176,53 +184,55 @@ def _tokens(bits: Bits, codes: list[Code], total: int) -> tuple[np.ndarray, np.n
     if not any(c.width for c in codes[:4]) and green.single < 256:  # one pixel all over, which takes no bits
         pixel = alpha.single << 24 | red.single << 16 | green.single << 8 | blue.single
         return np.zeros(total, dtype=np.int64), np.full(total, pixel), np.ones(total, dtype=np.int64), np.zeros(total, dtype=np.int64)
+    g_steps, r_steps, b_steps, a_steps = (c.steps for c in codes[:4])
+    g_mask, r_mask, b_mask, a_mask = (c.mask for c in codes[:4])
     parts, done = [], 0
     while done < total:
         by, at = bits.at >> 3, bits.at & 7
         if by >= len(bits.data):
             raise ValueError("the image ends early")
-        raw = np.frombuffer(bits.data, dtype=np.uint8, offset=by)[: min(BLOCK + 32, (total - done) * 8 + 64)]
-        last = by + len(raw) == len(bits.data)
-        n = 8 * (len(raw) if last else len(raw) - 31)  # a symbol takes less than 31 bytes
-        b = np.concatenate((raw, np.zeros(32, dtype=np.uint8))).astype(np.int64)
-        word = b[:-4] | b[1:-3] << 8 | b[2:-2] << 16 | b[3:-1] << 24 | b[4:] << 32
-        w = ((word[:, None] >> np.arange(8)) & 0xFFFFFFFF).ravel()  # 32 bits from each place; beyond the end they are 0
-        end = len(w) - 1
-        g = w & ((1 << green.width) - 1)
-        p1, sym = np.minimum(np.arange(len(w)) + green.lengths[g], end), green.symbols[g]
-        r = w[p1] & ((1 << red.width) - 1)
-        p2 = np.minimum(p1 + red.lengths[r], end)
-        x = w[p2] & ((1 << blue.width) - 1)
-        p3 = np.minimum(p2 + blue.lengths[x], end)
-        y = w[p3] & ((1 << alpha.width) - 1)
-        after = np.where(sym >= 280, p1, np.minimum(p3 + alpha.lengths[y], end))
-        size, far = np.ones(len(w), dtype=np.int64), np.zeros(len(w), dtype=np.int64)
-        back = np.flatnonzero((sym >= 256) & (sym < 280))
-        if len(back):
-            size[back], extra = _prefixed(w, p1[back], sym[back] - 256)
-            q = np.minimum(p1[back] + extra, end)
-            d = w[q] & ((1 << dist.width) - 1)
-            q = np.minimum(q + dist.lengths[d], end)
-            far[back], extra = _prefixed(w, q, dist.symbols[d])
-            after[back] = np.minimum(q + extra, end)
-        step, sizes, seen = after.tolist(), size.tolist() if len(back) else None, []
-        if sizes is None:
-            while done < total and at < n:
-                seen.append(at)
-                at = step[at]
+        raw = bits.data[by : by + BLOCK + 32]
+        stop = 8 * (BLOCK if by + len(raw) < len(bits.data) else len(raw))  # a symbol takes less than 9 bytes
+        raw += bytes(32)  # beyond the end, bits are 0
+        words = np.ndarray(len(raw) - 8, dtype="<u8", buffer=raw, strides=(1,)).tolist()  # 64 bits from each byte
+        if sum(c.width for c in codes[:4]) > 57:
+            words = [x | y << 64 for x, y in zip(words, words[8:], strict=False)]
+        seen, back, sizes, fars = [], [], [], []
+        while done < total and at < stop:
+            seen.append(at)
+            x = words[at >> 3] >> (at & 7)
+            n = g_steps[x & g_mask]
+            if n < 16:
+                n += r_steps[x >> n & r_mask]
+                n += b_steps[x >> n & b_mask]
+                at += n + a_steps[x >> n & a_mask]
                 done += 1
-        else:
-            while done < total and at < n:
-                seen.append(at)
-                done += sizes[at]
-                at = step[at]
+            elif n >= 32:
+                at += n - 32
+                done += 1
+            else:
+                back.append(len(seen) - 1)
+                s = int(green.symbols[x & g_mask]) - 256
+                bits.at = 8 * by + at + n - 16
+                sizes.append(_value(bits, s))
+                fars.append(_value(bits, dist.read(bits)))
+                at = bits.at - 8 * by
+                done += sizes[-1]
         bits.at = 8 * by + at
         if bits.at > 8 * len(bits.data):
             raise ValueError("the image ends early")
-        k = np.array(seen, dtype=np.int64)
-        s = sym[k]
-        pixel = alpha.symbols[y[k]] << 24 | red.symbols[r[k]] << 16 | s << 8 | blue.symbols[x[k]]
-        parts.append((np.where(s < 256, 0, np.where(s < 280, 1, s - 280 + 2)), pixel, size[k], far[k]))
+        b = np.frombuffer(raw, dtype=np.uint8).astype(np.int64)
+        w = b[:-2] | b[1:-1] << 8 | b[2:] << 16
+        p = np.array(seen, dtype=np.int64)
+        values = []
+        for code in codes[:4]:
+            k = w[p >> 3] >> (p & 7) & code.mask
+            values.append(code.symbols[k])
+            p += code.lengths[k]
+        s, r, x, y = values
+        size, far = np.ones(len(p), dtype=np.int64), np.zeros(len(p), dtype=np.int64)
+        size[back], far[back] = sizes, fars
+        parts.append((np.where(s < 256, 0, np.where(s < 280, 1, s - 280 + 2)), y << 24 | r << 16 | s << 8 | x, size, far))
     if done > total:
         raise ValueError("a back-reference leaves the image")
     return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
@@ -239,35 +249,35 @@ def _one_group(bits: Bits, codes: list[Code], cache: int, width: int, height: in
     kind, pixel, size, far = _tokens(bits, codes, width * height)
     if not kind.any():
         return pixel.astype(np.uint32).reshape(height, width)
-    starts = np.cumsum(size) - size
-    if not cache:
-        out = np.zeros(width * height, dtype=np.uint32)
-        out[starts[kind == 0]] = pixel[kind == 0]
-        for k in np.flatnonzero(kind == 1).tolist():
-            at, n, d = int(starts[k]), int(size[k]), _distance(int(far[k]), width)
-            if d > at:
-                raise ValueError("a back-reference leaves the image")
-            while n > 0:  # what it copies may be what it has just written
-                m = min(n, d)
-                out[at : at + m] = out[at - d : at - d + m]
-                at, n, d = at + m, n - m, d + m
-        return out.reshape(height, width)
-    out, held, shift, done = [], [0] * (1 << cache), 32 - cache, 0
-    for k, p, n, f in zip(kind.tolist(), pixel.tolist(), size.tolist(), far.tolist(), strict=True):
-        if k == 0:
-            out.append(p)
-        elif k == 1:
-            d, at = _distance(f, width), len(out)
-            if d > at:
-                raise ValueError("a back-reference leaves the image")
-            for i in range(at, at + n):
-                out.append(out[i - d])
-        else:
-            for q in out[done:]:
-                held[(0x1E35A7BD * q & 0xFFFFFFFF) >> shift] = q
-            done = len(out)
-            out.append(held[k - 2])
-    return np.array(out, dtype=np.uint32).reshape(height, width)
+    n, starts = width * height, np.cumsum(size) - size
+    source, value = np.arange(n + 1), np.zeros(n + 1, dtype=np.uint32)  # the pixel that a pixel is copied from; the last one is an empty cache place
+    value[starts[kind == 0]] = pixel[kind == 0]
+    for k in np.flatnonzero(kind == 1).tolist():
+        at, d = int(starts[k]), _distance(int(far[k]), width)
+        if d > at:
+            raise ValueError("a back-reference leaves the image")
+        source[at : at + int(size[k])] -= d
+    hits = starts[kind > 1]
+    if len(hits):
+        # a cache place holds the last pixel that belongs there, whatever brought it; where a pixel belongs is known before its value
+        slot = (value * np.uint32(0x1E35A7BD)) >> np.uint32(32 - cache)
+        slot[hits] = kind[kind > 1] - 2
+        slot = slot[_origins(source)][:n].astype(np.uint16)
+        order = np.argsort(slot, kind="stable")
+        same = slot[order[1:]] == slot[order[:-1]]
+        before = np.full(n, n)
+        before[order[1:][same]] = order[:-1][same]
+        source[hits] = before[hits]
+    return value[_origins(source)[:n]].reshape(height, width)
+
+
+def _origins(source: np.ndarray) -> np.ndarray:
+    """Where each pixel's chain of sources ends."""
+    while True:
+        further = source[source]
+        if (further == source).all():
+            return source
+        source = further
 
 
 def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
@@ -322,6 +332,10 @@ def _unpredict(pixels: np.ndarray, modes: np.ndarray, shift: int) -> None:
     p = pixels.astype(np.int32)
     p[0, 0, 0] = (p[0, 0, 0] + 255) & 255
     p[0] = np.cumsum(p[0], axis=0) & 255
+    if (modes == 2).all():
+        np.cumsum(p, axis=0, out=p)
+        pixels[:] = p & 255
+        return
     half = lambda a, b: (a + b) >> 1
     for y in range(1, height):
         up, row = p[y - 1], p[y]
@@ -476,31 +490,37 @@ def _lengths(weight: np.ndarray, most: int = 15) -> np.ndarray:
         return out
     w = weight[used].astype(np.int64)
     while True:
-        nodes, parent, tie = [(int(x), k) for k, x in enumerate(w)], {}, len(used)
-        heapq.heapify(nodes)
-        while len(nodes) > 1:
-            (x, i), (y, j) = heapq.heappop(nodes), heapq.heappop(nodes)
-            parent[i] = parent[j] = tie
-            heapq.heappush(nodes, (x + y, tie))
-            tie += 1
-        level = {tie - 1: 0}
-        for k in range(tie - 2, -1, -1):
-            level[k] = level[parent[k]] + 1
-        depth = [level[k] for k in range(len(used))]
-        if max(depth) <= most:
-            out[used] = depth
+        by = np.argsort(w, kind="stable")
+        n, leaves = len(used), w[by].tolist()
+        joined: list[int] = []  # weights of joined nodes, which never fall
+        above, i, j = [0] * (2 * n - 1), 0, 0
+        for k in range(n - 1):
+            total = 0
+            for _ in range(2):
+                if i < n and (j >= k or leaves[i] <= joined[j]):
+                    total += leaves[i]
+                    above[i] = n + k
+                    i += 1
+                else:
+                    total += joined[j]
+                    above[n + j] = n + k
+                    j += 1
+            joined.append(total)
+        level = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            level[k] = level[above[k]] + 1
+        if max(level) <= most:
+            out[used[by]] = level[:n]
             return out
         w = np.maximum(w >> 1, 1) + (w.max() >> most)  # flatter weights give shorter codes
 
 
 def _words(lengths: np.ndarray) -> np.ndarray:
     """Each symbol's code word, first bit lowest."""
-    out, code, before = np.zeros(len(lengths), dtype=np.int64), 0, 0
-    for n, k in sorted((int(lengths[k]), int(k)) for k in np.flatnonzero(lengths)):
-        code <<= n - before
-        before = n
-        out[k] = int(format(code, f"0{n}b")[::-1], 2)
-        code += 1
+    out, used = np.zeros(len(lengths), dtype=np.int64), np.flatnonzero(lengths)
+    used = used[np.argsort(lengths[used], kind="stable")]
+    room = 1 << (15 - lengths[used].astype(np.int64))
+    out[used] = REVERSED[np.cumsum(room) - room]
     return out
 
 
@@ -512,11 +532,9 @@ def _put_code(w: Writer, lengths: np.ndarray) -> np.ndarray:
         w.put(1, 1).put(0, 1).put(int(k > 1), 1).put(k, 8 if k > 1 else 1)
         return np.zeros(len(lengths), dtype=np.uint8)
     runs: list[tuple[int, int, int]] = []  # symbol of the code-length code, extra value, extra bits
-    values, at, before = lengths[: int(used[-1]) + 1].tolist(), 0, 8
-    while at < len(values):
-        v, n = values[at], 1
-        while at + n < len(values) and values[at + n] == v:
-            n += 1
+    values, before = lengths[: int(used[-1]) + 1], 8
+    starts = np.concatenate(([0], np.flatnonzero(values[1:] != values[:-1]) + 1))
+    for v, n in zip(values[starts].tolist(), np.diff(starts, append=len(values)).tolist(), strict=True):
         left = n
         if v:
             if v != before:
@@ -532,23 +550,23 @@ def _put_code(w: Writer, lengths: np.ndarray) -> np.ndarray:
                 runs.append((17, m - 3, 3) if m < 11 else (18, m - 11, 7))
                 left -= m
         runs += [(v, 0, 0)] * left
-        at += n
-    of = _lengths(np.bincount([r[0] for r in runs], minlength=19), 7)
-    word = _words(of)
+    lengths_of = _lengths(np.bincount([r[0] for r in runs], minlength=19), 7)
+    word, of = _words(lengths_of).tolist(), lengths_of.tolist()
     last = max(k for k in range(19) if of[LENGTH_ORDER[k]])
     count = max(last + 1, 4)
     w.put(0, 1).put(count - 4, 4)
     for k in range(count):
-        w.put(int(of[LENGTH_ORDER[k]]), 3)
+        w.put(of[LENGTH_ORDER[k]], 3)
     w.put(1, 1)
     size = max((len(runs) - 2).bit_length(), 2)
     size += size & 1
     w.put((size - 2) // 2, 3).put(len(runs) - 2, size)
-    alone = np.count_nonzero(of) == 1
+    if np.count_nonzero(lengths_of) == 1:  # takes no bits
+        of = [0] * 19
+    rest = Writer()
     for s, x, n in runs:
-        if not alone:
-            w.put(int(word[s]), int(of[s]))
-        w.put(x, n)
+        rest.put(word[s] | x << of[s], of[s] + n)
+    w.put(rest.value, rest.n)
     return lengths if len(used) > 1 else np.zeros(len(lengths), dtype=np.uint8)
 
 
@@ -612,6 +630,11 @@ def _repeats(p: np.ndarray) -> list[tuple[int, int, int]]:
             at = i + 1
 
 
+def _distinct(pixels: np.ndarray) -> np.ndarray:
+    x = np.sort(pixels, axis=None)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))]
+
+
 def _put_image(w: Writer, pixels: np.ndarray, main: bool, text: bool = False) -> bytes | None:
     """Writes an image's codes and pixels (ARGB, row by row), the main one's last part as bytes that begin with w's open bits.
     text: the pixels are the payload's own, so that a small image may use the shared codes."""
@@ -621,7 +644,7 @@ def _put_image(w: Writer, pixels: np.ndarray, main: bool, text: bool = False) ->
     for at, n, _ in found:
         single[at : at + n] = False
     cache, place = 0, None
-    if main and len(p) > SHARED and len(np.unique(p)) < 0.5 * len(p):
+    if main and len(p) > SHARED and len(_distinct(p)) < 0.5 * len(p):
         cache = CACHE
         slots = ((np.uint64(0x1E35A7BD) * p.astype(np.uint64) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - CACHE)).astype(np.int64)
         order = np.argsort(slots, kind="stable")
@@ -633,56 +656,71 @@ def _put_image(w: Writer, pixels: np.ndarray, main: bool, text: bool = False) ->
         w.put(cache, 4)
     if main:
         w.put(0, 1)  # one group of codes
-    starts = np.concatenate((np.flatnonzero(single), np.array([f[0] for f in found], dtype=np.int64)))
-    order = np.argsort(starts)
-    starts = starts[order]
-    size, far = np.ones(len(starts), dtype=np.int64), np.zeros(len(starts), dtype=np.int64)
+    starts = np.flatnonzero(single)
+    back, d_sym = np.zeros(len(starts), dtype=bool), np.empty(0, dtype=np.int64)
     if found:
-        k = np.searchsorted(starts, [f[0] for f in found])
-        size[k], far[k] = [f[1] for f in found], [f[2] + 120 for f in found]
-    back = far > 0
+        runs, size, far = np.array(found, dtype=np.int64).T
+        starts = np.sort(np.concatenate((starts, runs)))
+        back = np.zeros(len(starts), dtype=bool)
+        back[np.searchsorted(starts, runs)] = True
     cached = (place[starts] >= 0) & ~back if cache else np.zeros(len(starts), dtype=bool)
     q = p[starts].astype(np.int64)
-    symbols = [np.where(back, 0, (q >> 8) & 255), (q >> 16) & 255, q & 255, q >> 24]
-    n_sym, n_extra, n_bits = _prefix(size)
-    d_sym, d_extra, d_bits = _prefix(np.maximum(far, 1))
-    symbols[0] = np.where(back, 256 + n_sym, np.where(cached, 280 + (place[starts] if cache else 0), symbols[0]))
+    symbols = [(q >> 8) & 255, (q >> 16) & 255, q & 255, q >> 24]
+    if found:
+        n_sym, n_extra, n_bits = _prefix(size)
+        d_sym, d_extra, d_bits = _prefix(far + 120)
+        symbols[0][back] = 256 + n_sym
+    if cache:
+        symbols[0][cached] = 280 + place[starts[cached]]
     plain = ~back & ~cached
     if text and len(p) <= SHARED:
         value, n, taken, words = _shared(0)
         w.put(value, n)
     else:
-        counts = [np.bincount(symbols[0], minlength=280 + (1 << cache if cache else 0)), *(np.bincount(s[plain], minlength=256) for s in symbols[1:]), np.bincount(d_sym[back], minlength=40)]
+        counts = [np.bincount(symbols[0], minlength=280 + (1 << cache if cache else 0)), *(np.bincount(s[plain], minlength=256) for s in symbols[1:]), np.bincount(d_sym, minlength=40)]
         lengths = [_lengths(c) for c in counts]
         taken, words = [_put_code(w, x) for x in lengths], [_words(x) for x in lengths]
     # in order: green, red, blue, alpha; for a back-reference its length's rest, its distance and that one's rest
-    value, bits = np.zeros((len(starts), 4), dtype=np.int64), np.zeros((len(starts), 4), dtype=np.int64)
-    for c in range(4):
-        value[:, c], bits[:, c] = words[c][symbols[c]] if c == 0 else np.where(plain, words[c][symbols[c]], 0), taken[c][symbols[c]] if c == 0 else np.where(plain, taken[c][symbols[c]], 0)
+    value, bits = words[0][symbols[0]], taken[0][symbols[0]].astype(np.int64)
+    value[plain], bits[plain] = _then(value[plain], bits[plain], *((words[c][s], taken[c][s]) for c, s in enumerate(symbols) if c for s in [s[plain]]))
     if found:
-        value[back, 1], bits[back, 1] = n_extra[back], n_bits[back]
-        value[back, 2], bits[back, 2] = words[4][d_sym[back]], taken[4][d_sym[back]]
-        value[back, 3], bits[back, 3] = d_extra[back], d_bits[back]
-    value, bits = value.ravel(), bits.ravel()
-    value = np.where(bits > 0, value, 0)
-    ends = np.cumsum(bits)
-    total = int(ends[-1]) if len(ends) else 0
-    flat = ((np.repeat(value, bits) >> (np.arange(total) - np.repeat(ends - bits, bits))) & 1).astype(np.uint8)
+        value[back], bits[back] = _then(value[back], bits[back], (n_extra, n_bits), (words[4][d_sym], taken[4][d_sym]), (d_extra, d_bits))
+    by, off = divmod(w.n, 8)
+    total = off + int(bits.sum())
+    packed = _pack(value, bits, off)[: -(-total // 8)]
     if not main:
-        packed = np.packbits(flat, bitorder="little").tobytes()
-        w.put(int.from_bytes(packed, "little"), total)
+        w.put(int.from_bytes(packed, "little") >> off, total - off)
         return None
-    by, off = divmod(w.n, 8)
     head = w.value.to_bytes(by + 1, "little")
-    lead = (head[by] >> np.arange(off)) & 1
-    return head[:by] + np.packbits(np.concatenate((lead.astype(np.uint8), flat)), bitorder="little").tobytes()
+    return head[:by] + bytes([head[by] | packed[0]]) + packed[1:] if packed else head[:by]
+
+
+def _then(value: np.ndarray, bits: np.ndarray, *more: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Values of so many bits with others put behind them."""
+    for x, n in more:
+        value = value | x << bits
+        bits = bits + n
+    return value, bits
+
+
+def _pack(value: np.ndarray, bits: np.ndarray, off: int) -> bytes:
+    """The values, each of less than 64 bits, one behind another from bit `off` on; zero bytes may follow."""
+    at = off + np.cumsum(bits) - bits
+    word, shift = at >> 6, (at & 63).astype(np.uint64)
+    value = value.astype(np.uint64)
+    # every word has a value that begins there, and its last one alone may reach into the next word
+    last = np.concatenate((np.flatnonzero(word[1:] != word[:-1]), [len(word) - 1]))
+    out = np.zeros(len(last) + 1, dtype="<u8")
+    out[:-1] = np.bitwise_or.reduceat(value << shift, np.concatenate(([0], last[:-1] + 1)))
+    out[1:] |= (value[last] >> np.uint64(1)) >> (np.uint64(63) - shift[last])
+    return out.tobytes()
 
 
 def encode_argb(argb: np.ndarray) -> bytes:
     """A WebP file of (height, width) pixels, coded by their content."""
     height, width = argb.shape
     w = Writer().put(0x2F, 8).put(width - 1, 14).put(height - 1, 14).put(1, 1).put(0, 3)  # alpha, version
-    colors = np.unique(argb) if argb.size > 64 else argb.ravel()
+    colors = _distinct(argb) if argb.size > 64 else argb.ravel()
     if argb.size > 64 and len(colors) <= min(256, argb.size // 4):
         n = len(colors)
         shift = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
