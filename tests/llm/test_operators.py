@@ -290,6 +290,28 @@ def test_encoder_caches_restart(monkeypatch):
     assert [np.frombuffer(b, dtype="<u2").tolist() for b in e.encode(texts)] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_encoder_learns_little(monkeypatch):
+    """Units that keep coming stay known however many rare ones pass, and words beside marks and line feeds aren't learned anew."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "UNITS", 4000)
+    t, e = Tokenizer.from_file(tokens.tokenizer_path()), tokens.Encoder(tokens.tokenizer_path())
+    learned, learn = Counter(), e.learn
+    monkeypatch.setattr(e, "learn", lambda units: (learned.update(units), learn(units)))
+    rng = np.random.default_rng(11)
+    common = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(600)]
+    between = [" "] * 12 + [", ", ".\n", ".*** ", "\n", "!! ", "%%%\n", "...\n\n", "-", "'s "]
+    for k in range(30):
+        texts = ["".join(common[i] + between[j] for i, j in zip(rng.integers(0, 600, 60), rng.integers(0, 21, 60), strict=True)) + "x" + " ".join(rng.bytes(6).hex() for _ in range(4)) for _ in range(256)]
+        assert [np.frombuffer(b, dtype="<u2").tolist() for b in e.encode(texts)] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)], k
+    again = sum(learned[u] - 1 for u in common)
+    assert all(learned[u] for u in common) and again <= 60, again
+    assert not any("\n" in u.strip("\0\n") and "\n\n" not in u for u in learned)
+    marks = ["a", "Bc", "é", "7", "_", "'", "'s", ".", "***", "-", "$", "\n", "\n", "\n\n", "\r\n", "\t", " ", " ", "  ", "\xa0", "\u2028", "\x1c", "²", "漢", "Ċ", "Ġ", "\x00", "<|endoftext|>"]
+    texts = ["".join(marks[k] for k in rng.integers(0, len(marks) - 2 * (n % 8 > 0), rng.integers(0, 24))) for n in range(20_000)]
+    assert [np.frombuffer(b, dtype="<u2").tolist() for b in e.encode(texts)] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+
+
 # -- licences
 
 

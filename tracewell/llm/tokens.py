@@ -27,7 +27,7 @@ MAGIC = b"TWTOKEN1"
 END = 0
 #: UTF-8 bytes of text in a shard, about.
 SHARD_BYTES = 24 << 20
-#: Entries of an encoder's cache; it starts anew beyond that.
+#: Entries of an encoder's cache, in two halves: when the newer one is full, it becomes the older one, which is dropped.
 UNITS = 450_000
 #: Units that are encoded as one text.
 JOINED = 256
@@ -51,9 +51,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-#: A mark between a letter or digit and a space is a piece of its own; it is cut off, and stands under MARK + mark.
-MARKS, MARK = ".,;:!?", "\x00"
-_MARKS = re.compile(r"[.,;:!?](?<=[^\W_].)(?= \S)")
+#: Marks between a letter or digit and a space or line feed are a piece of their own, and so is a line feed between other
+#: characters. Both are cut off from what stands before them, and stand under MARK + marks and MARK + line feed + what follows.
+MARK = "\x00"
+_MARK = r"!-&(-/:-@\[-`{-~"  # ASCII's, without the apostrophe, which may begin a piece with letters
+_MARKS = re.compile(rf"[{_MARK}\n](?:(?<=[^\W_][^\n])[{_MARK}]*+(?=[ \n]\S)|(?<=\S\n)(?=\S))")
 
 
 class Encoder:
@@ -62,7 +64,8 @@ class Encoder:
     The tokenizer cuts a text by its own pattern before it merges, and no cut spans a single space between two other
     characters from its left to its right side; so what stands between such spaces, a unit, can be encoded apart, and
     once. New units are encoded many at a time, joined by single spaces: each holds one space, its first byte, so that
-    its ids begin at a token that begins with the space. Texts that hold an added token's own text, or MARK, are encoded whole.
+    its ids begin at a token that begins with the space; those that begin with a line feed are joined as they are. Texts
+    that hold an added token's own text, or MARK, are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -73,31 +76,44 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         if max(vocabulary.values()) >= 1 << 16:
             raise ValueError("ids don't fit 16 bits")
+        if "\u010a" not in vocabulary:  # how byte-level tokens write a line feed
+            raise ValueError("not a byte-level vocabulary")
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.begins = np.zeros(1 << 16, dtype=bool)
         self.begins[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # how byte-level tokens write a space
-        self.restart()
-
-    def restart(self) -> None:
-        self.units: dict[str, bytes] = dict(zip((MARK + m for m in MARKS), self.plain(list(MARKS)), strict=True))
+        self.breaks = np.zeros(1 << 16, dtype=bool)
+        self.breaks[vocabulary["\u010a"]] = True
+        self.units: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, units: list[str]) -> None:
-        """Enters the ids of ' ' + unit for each."""
-        spaced = [u for u in units if " " in u]
-        if spaced:
-            units = [u for u in units if " " not in u]
-            self.units.update(zip(spaced, self.plain([" " + u for u in spaced]), strict=True))
+        """Enters the ids of ' ' + unit for each, of what follows MARK where a unit begins with that."""
+        words, lines, others = [], [], []
+        for u in units:
+            if u[:1] == MARK:
+                (lines if u[1:2] == "\n" and len(u.split()) == 2 and not u[-1].isspace() else others).append(u)
+            else:
+                (others if " " in u else words).append(u)
+        self.units.update(zip(others, self.plain([u[1:] if u[:1] == MARK else " " + u for u in others]), strict=True))
+        self.joined(words, " ", self.begins)
+        self.joined(lines, "", self.breaks)
+
+    def joined(self, units: list[str], before: str, first: np.ndarray) -> None:
+        """Enters the ids of `before` and each unit, whose first tokens alone are marked in `first`."""
         parts = [units[at : at + JOINED] for at in range(0, len(units), JOINED)]
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False), strict=True):
+        texts = [before + before.join(p) for p in parts]
+        if not before:
+            texts = [t.replace(MARK, "") for t in texts]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype="<u2")
-            starts = np.flatnonzero(self.begins[ids])
+            starts = np.flatnonzero(first[ids])
             if len(starts) != len(part):
                 raise ValueError("not a byte-level vocabulary")
             data, ends = ids.tobytes(), [*(2 * starts[1:]).tolist(), 2 * len(ids)]
-            self.units.update((u, data[s:t]) for u, s, t in zip(part, (2 * starts).tolist(), ends, strict=True))
+            self.units.update(zip(part, map(data.__getitem__, map(slice, (2 * starts).tolist(), ends)), strict=True))
 
     def cut(self, text: str) -> list[str]:
         """The text's units; the first one has no space before it."""
@@ -113,10 +129,12 @@ class Encoder:
             words = set().union(*(s[1:] for s in split))
             missing = words.difference(self.units)
             if missing:
-                if len(self.units) + len(missing) > UNITS:
-                    self.restart()
-                    missing = words.difference(self.units)
-                self.learn(list(missing))
+                if len(self.units) + len(missing) > UNITS // 2:
+                    self.older, self.units, missing = self.units, {}, words
+                new = missing.difference(self.older)
+                kept = list(missing.difference(new))
+                self.units.update(zip(kept, map(self.older.__getitem__, kept), strict=True))
+                self.learn(list(new))
             known = self.units.__getitem__
             for s, head in zip(split, self.plain([s[0] for s in split]), strict=True):
                 out.append(head + b"".join(map(known, s[1:])))
