@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 import xxhash
@@ -312,6 +313,52 @@ def test_encoder_learns_little(monkeypatch):
     assert [np.frombuffer(b, dtype="<u2").tolist() for b in e.encode(texts)] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_encoder_keeps_many():
+    """Units of a large vocabulary are learned once, not each time they come again."""
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(tokens.tokenizer_path()), tokens.Encoder(tokens.tokenizer_path())
+    words = ["".join(w) for w in product("abcdefghijklmnopqrstuvwxyz", repeat=4)]
+    texts = [" ".join(words[at : at + 200]) for at in range(0, len(words), 200)]
+    first, learned, learn = e.encode(texts), [], e.learn
+    e.learn = lambda units: (learned.append(len(units)), learn(units))
+    assert e.encode(texts) == first and sum(learned) == 0, sum(learned)
+    assert [np.frombuffer(b, dtype="<u2").tolist() for b in first[::200]] == [x.ids for x in t.encode_batch(texts[::200], add_special_tokens=False)]
+
+
+@pytest.mark.parametrize(("units", "window"), [(1_000_000, 1 << 18), (60, 64), (2000, 1), (1_000_000, 300)])
+def test_encoder_windows(monkeypatch, units, window):
+    """Ids are the library's wherever windows end, however small the cache, for long units and every kind of character."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "UNITS", units)
+    monkeypatch.setattr(tokens, "WINDOW", window)
+    t, e = Tokenizer.from_file(tokens.tokenizer_path()), tokens.Encoder(tokens.tokenizer_path())
+    points = [c for c in [*range(0x3100), *range(0x3100, 0x110000, 211)] if not 0xD800 <= c < 0xE000]
+    texts = [f"x{chr(c)}. {chr(c)} y{chr(c)}\nz,{chr(c)}!" for c in points[:: 1 if units > 2000 else 40]]
+    texts += ["", " ", "", "a" * 3000 + " b. " + "漢字" * 2000, "x. " * 3000, " " * 2000 + "b", "<|endoftext|>", "a <|endoftext|><|endoftext|>b", "<|endof", "text|>", " \x00y", "\x00y y", "z\n\x00y\nx", "w" * 15 + " " + "w" * 14 + "\n" + "w" * 16 + " " + "w" * 80]
+    for _ in range(2):
+        assert [np.frombuffer(b, dtype="<u2").tolist() for b in e.encode(texts)] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    assert e.encode([]) == []
+
+
+def test_shard_parts(monkeypatch):
+    """A shard's rows come in parts of few rows and bytes, from slices of batches with nulls, in either kind of string."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "PART_ROWS", 3)
+    monkeypatch.setattr(tokens, "PART_BYTES", 40)
+    t = Tokenizer.from_file(tokens.tokenizer_path())
+    data = [(None, "no key"), (1, None), (2, ""), (2, "two, twice"), (3, "three " * 30), (4, None), (5, "é. <|endoftext|>"), (6, "x" * 41), (7, "y"), (8, "z"), (9, "w"), (10, "v")]
+    for kind in (pa.string(), pa.large_string()):
+        batch = pa.record_batch([pa.array([0, *(k for k, _ in data)], pa.int64()), pa.array(["before", *(x for _, x in data)], kind)], names=["doc_id", "text"])
+        out = list(tokens._shard(tokens.tokenizer_path())(iter([batch.slice(1, 0), batch.slice(1, 7), batch.slice(8)])))
+        assert max(b.num_rows for b in out) == 3
+        s = tokens.Shard(b"".join(v + b"\0\0" for b in out for v in b.column(0).to_pylist()))
+        assert s.keys.tolist()[1:] == [k for k, _ in data[1:]] and s.nulls == 1
+        assert [s.document(i).tolist() for i in range(len(data))] == [[*t.encode(x or "", add_special_tokens=False).ids, 0] for _, x in data]
+
+
 # -- licences
 
 

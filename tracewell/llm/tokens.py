@@ -10,7 +10,6 @@ its row, with a stored fingerprint of the key that tells absent keys apart.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,22 +26,29 @@ MAGIC = b"TWTOKEN1"
 END = 0
 #: UTF-8 bytes of text in a shard, about.
 SHARD_BYTES = 24 << 20
-#: Entries of an encoder's cache, in two halves: when the newer one is full, it becomes the older one, which is dropped.
-UNITS = 450_000
+#: Entries of an encoder's cache; when it is full, those stay that were used again since it was full before.
+UNITS = 1_000_000
+#: Ids in the cache, for each entry on average, beyond which it counts as full.
+UNIT_IDS = 8
 #: Units that are encoded as one text.
 JOINED = 256
+#: Bytes of text that are cut into units at a time, and bytes and rows that are written at a time.
+WINDOW, PART_BYTES, PART_ROWS = 1 << 18, 64 << 20, 512
+#: Bytes of the longest unit that is found by numbers, and of the longest that is kept.
+SHORT, KEPT = 15, 64
 
-_SPACE = re.compile(r"(?<=\S) (?=\S)")
-#: White space other than the space and the line feed: in ASCII, and beyond.
-_ASCII_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
-_OTHER_SPACES = "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
-
-
-def single_spaces(text: str) -> bool:
-    """Whether every space stands between two characters that aren't white space (texts with rarer white space: no)."""
-    if text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text:
-        return False
-    return not any(c in text for c in _ASCII_SPACES) and (text.isascii() or not any(c in text for c in _OTHER_SPACES))
+#: A unit given to `learn` stands for a space and itself, or after MARK, for itself alone.
+MARK = "\x00"
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII's, without the apostrophe, which may begin a piece with letters
+_ALNUM = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+#: A cut stands where _AT of a byte and _AFTER of the byte before it share a bit. 1: a space or line feed after a character that
+#: isn't white space; 2: a mark after a letter or digit; 4: the character before isn't ASCII and has to be looked at.
+_AT = bytes(5 if c in b" \n" else 6 if c in _MARKS else 0 for c in range(256))
+_AFTER = bytes(7 if c > 0x7F else 3 if c in _ALNUM else 1 if 0x20 < c < 0x7F else 0 for c in range(256))
+#: Two-byte UTF-8 whose every character is a letter, by first byte: U+00C0 to U+027F (but for two) and U+0400 to U+047F.
+_LETTERS = np.isin(np.arange(256), [*range(0xC3, 0xCA), 0xD0, 0xD1])
+#: The lowest n bytes of a word.
+_LOW = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(256)], dtype="<u8")
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -51,21 +57,45 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-#: Marks between a letter or digit and a space or line feed are a piece of their own, and so is a line feed between other
-#: characters. Both are cut off from what stands before them, and stand under MARK + marks and MARK + line feed + what follows.
-MARK = "\x00"
-_MARK = r"!-&(-/:-@\[-`{-~"  # ASCII's, without the apostrophe, which may begin a piece with letters
-_MARKS = re.compile(rf"[{_MARK}\n](?:(?<=[^\W_][^\n])[{_MARK}]*+(?=[ \n]\S)|(?<=\S\n)(?=\S))")
+def _no_cuts(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the places, all after a character beyond ASCII, can't be cut: white space is before a space or line feed, or no known letter before a mark."""
+    a, b, c = buf[at - 1], buf[np.maximum(at - 2, 0)], buf[np.maximum(at - 3, 0)]
+    space = (b == 0xC2) & ((a == 0x85) | (a == 0xA0)) | (c == 0xE1) & (b == 0x9A) & (a == 0x80) | (c == 0xE3) & (b == 0x80) & (a == 0x80)
+    space |= (c == 0xE2) & ((b == 0x80) & ((a <= 0x8A) | (a == 0xA8) | (a == 0xA9) | (a == 0xAF)) | (b == 0x81) & (a == 0x9F))
+    letter = _LETTERS[b] & ~((b == 0xC3) & ((a == 0x97) | (a == 0xB7)))
+    return np.where((buf[at] == 0x20) | (buf[at] == 0x0A), space, ~letter)
 
 
-class Encoder:
-    """The tokenizer with a cache in front: a text's ids as bytes of unsigned 16-bit integers.
+def _starts(text: bytes) -> np.ndarray:
+    """Where units begin in UTF-8 that begins with one, as flags."""
+    out = np.frombuffer(bytearray(text.translate(_AT)), dtype=np.uint8)
+    out[1:] &= np.frombuffer(text.translate(_AFTER), dtype=np.uint8)[:-1]
+    out[:1] = 1
+    if not text.isascii():
+        at = np.flatnonzero(out & 4)
+        out[at[_no_cuts(np.frombuffer(text, dtype=np.uint8), at)]] = 0
+    return out
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its count, one after the other."""
+    before = np.cumsum(counts) - counts
+    return np.repeat(starts - before, counts) + np.arange(int(counts.sum()))
+
 
-    The tokenizer cuts a text by its own pattern before it merges, and no cut spans a single space between two other
-    characters from its left to its right side; so what stands between such spaces, a unit, can be encoded apart, and
-    once. New units are encoded many at a time, joined by single spaces: each holds one space, its first byte, so that
-    its ids begin at a token that begins with the space; those that begin with a line feed are joined as they are. Texts
-    that hold an added token's own text, or MARK, are encoded whole.
+class Encoder:
+    """The tokenizer with a cache in front, from UTF-8 to ids as unsigned 16-bit integers.
+
+    The tokenizer cuts a text by its own pattern before it merges. It always cuts before a space or line feed that follows
+    something else than white space, and between a letter or digit and a mark (not the apostrophe). What stands between
+    such places, a unit, is encoded apart, and once: no piece of the pattern spans them, and as a unit ends in white
+    space only where its text ends, the pattern's look ahead sees the same. Texts that hold an added token's own text
+    are encoded whole.
+
+    Units of a window of text are looked up all at once, in arrays: a unit's bytes and their number are two words, its
+    key, which is hashed to an entry, compared, and if it is another's, looked for in the next slots. Longer units are
+    kept in a dict. New units are encoded many at a time, joined: each holds one space or one line feed, its first byte,
+    so that its ids begin at a token that begins with that.
     """
 
     def __init__(self, path: str) -> None:
@@ -78,67 +108,202 @@ class Encoder:
             raise ValueError("ids don't fit 16 bits")
         if "\u010a" not in vocabulary:  # how byte-level tokens write a line feed
             raise ValueError("not a byte-level vocabulary")
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.begins = np.zeros(1 << 16, dtype=bool)
         self.begins[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # how byte-level tokens write a space
         self.breaks = np.zeros(1 << 16, dtype=bool)
         self.breaks[vocabulary["\u010a"]] = True
-        self.units: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        # by entry: the key's words (0, 0: none), where its ids begin, how many they are, whether it was used again
+        self.size, self.keys, self.at, self.count, self.used = 0, np.zeros((2, 1), dtype="<u8"), np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int32), np.zeros(1, dtype=bool)
+        self.ids, self.filled, self.long = np.empty(0, dtype="<u2"), 0, {}
+        self.slots, self.shift = np.full(2, -1, dtype=np.int32), np.uint64(63)
 
-    def plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u2") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, units: list[str]) -> None:
-        """Enters the ids of ' ' + unit for each, of what follows MARK where a unit begins with that."""
+        """Enters the ids of ' ' + unit for each, of what follows MARK where a unit begins with that, as the next entries."""
         words, lines, others = [], [], []
-        for u in units:
+        for i, u in enumerate(units):
             if u[:1] == MARK:
-                (lines if u[1:2] == "\n" and len(u.split()) == 2 and not u[-1].isspace() else others).append(u)
+                (lines if u[1:2] == "\n" and u[2:].split() == [u[2:]] else others).append(i)
             else:
-                (others if " " in u else words).append(u)
-        self.units.update(zip(others, self.plain([u[1:] if u[:1] == MARK else " " + u for u in others]), strict=True))
-        self.joined(words, " ", self.begins)
-        self.joined(lines, "", self.breaks)
-
-    def joined(self, units: list[str], before: str, first: np.ndarray) -> None:
-        """Enters the ids of `before` and each unit, whose first tokens alone are marked in `first`."""
-        parts = [units[at : at + JOINED] for at in range(0, len(units), JOINED)]
-        texts = [before + before.join(p) for p in parts]
-        if not before:
-            texts = [t.replace(MARK, "") for t in texts]
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, dtype="<u2")
-            starts = np.flatnonzero(first[ids])
-            if len(starts) != len(part):
+                (words if u.split() == [u] else others).append(i)
+        some = [units[i] for i in others]
+        parts = self.plain([u[1:] if u[:1] == MARK else " " + u for u in some])
+        self.enter(others, parts, [len(p) for p in parts])
+        self.joined(units, words, " ", self.begins)
+        self.joined(units, lines, "", self.breaks)
+        self.size += len(units)
+
+    def joined(self, units: list[str], which: list[int], before: str, first: np.ndarray) -> None:
+        """Enters the ids of `before` and each of these units, whose first tokens alone are marked in `first`."""
+        parts = [which[at : at + JOINED] for at in range(0, len(which), JOINED)]
+        marked = not before  # these units have MARK in front
+        ids, counts = self.plain([before + before.join([units[i][marked:] for i in p]) for p in parts]), []
+        for part, x in zip(parts, ids, strict=True):
+            starts = np.flatnonzero(first[x])
+            if len(starts) != len(part) or starts[0]:
                 raise ValueError("not a byte-level vocabulary")
-            data, ends = ids.tobytes(), [*(2 * starts[1:]).tolist(), 2 * len(ids)]
-            self.units.update(zip(part, map(data.__getitem__, map(slice, (2 * starts).tolist(), ends)), strict=True))
+            counts += np.diff(starts, append=len(x)).tolist()
+        self.enter(which, ids, counts)
+
+    def enter(self, which: list[int], ids: list[np.ndarray], counts: list[int]) -> None:
+        """The ids of new entries, so many for each."""
+        if not which:
+            return
+        end = self.filled + sum(counts)
+        if end > len(self.ids):
+            self.ids = np.concatenate((self.ids[: self.filled], np.empty(max(end, 2 * self.filled) - self.filled, dtype="<u2")))
+        self.ids[self.filled : end] = np.concatenate(ids)
+        rows = self.size + np.array(which)
+        self.count[rows] = counts
+        self.at[rows] = self.filled + np.cumsum(counts) - counts
+        self.filled = end
+
+    def hashed(self, keys: np.ndarray) -> np.ndarray:
+        """The first slot of each key."""
+        x = keys[0] * np.uint64(0x9E3779B97F4A7C15) ^ keys[1] * np.uint64(0xC2B2AE3D27D4EB4F)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        return (x >> self.shift).astype(np.int64)
+
+    def found(self, keys: np.ndarray) -> np.ndarray:
+        """The entry of each key, or -1."""
+        slot = self.hashed(keys)
+        out = self.slots[slot].astype(np.int64)
+        open_ = np.flatnonzero((out >= 0) & ((self.keys[0][out] != keys[0]) | (self.keys[1][out] != keys[1])))
+        slot, last = slot[open_], len(self.slots) - 1
+        while len(open_):
+            slot = (slot + 1) & last
+            e = self.slots[slot]
+            out[open_] = e
+            other = (e >= 0) & ((self.keys[0][e] != keys[0][open_]) | (self.keys[1][e] != keys[1][open_]))
+            open_, slot = open_[other], slot[other]
+        return out
+
+    def place(self, entries: np.ndarray) -> None:
+        """Gives the entries, whose keys are in no slot yet, the next free slot."""
+        slot, last = self.hashed(self.keys[:, entries]), len(self.slots) - 1
+        while len(entries):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = entries[free]
+            left = self.slots[slot] != entries
+            entries, slot = entries[left], (slot[left] + 1) & last
+
+    def room(self, more: int, now: np.ndarray) -> np.ndarray:
+        """Makes room for more entries; the new numbers of all entries, -1 for those dropped. Those of `now` are in use."""
+        number = np.arange(self.size)
+        if self.size + more > UNITS or self.filled > UNIT_IDS * UNITS:
+            keep = np.flatnonzero(self.used[: self.size])
+            if len(keep) + more > UNITS or self.count[keep].sum() > UNIT_IDS * UNITS // 2:
+                keep = np.unique(now)
+            number = np.full(self.size, -1)
+            number[keep] = np.arange(len(keep))
+            counts = self.count[keep]
+            self.ids = self.ids[_ranges(self.at[keep], counts)]
+            self.keys, self.at, self.count, self.used = self.keys[:, keep], np.cumsum(counts) - counts, counts, np.zeros(len(keep), dtype=bool)
+            self.size, self.filled = len(keep), len(self.ids)
+            self.long = {k: n for k, e in self.long.items() if (n := int(number[e])) >= 0}
+            self.slots = np.empty(0, dtype=np.int32)
+        if (need := self.size + more) > len(self.at):
+            add = max(need, min(2 * self.size, UNITS)) - len(self.at)
+            self.keys = np.concatenate((self.keys, np.zeros((2, add), dtype="<u8")), axis=1)
+            self.at, self.count = (np.concatenate((x, np.zeros(add, dtype=x.dtype))) for x in (self.at, self.count))
+            self.used = np.concatenate((self.used, np.zeros(add, dtype=bool)))
+        if 2 * need > len(self.slots):
+            bits = (2 * need).bit_length()
+            self.slots, self.shift = np.full(1 << bits, -1, dtype=np.int32), np.uint64(64 - bits)
+            self.place(np.flatnonzero(self.keys[1, : self.size]))
+        return number
+
+    def entries(self, text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The entry of each unit, which is entered if it is new."""
+        words, size = np.frombuffer(text + bytes(-len(text) % 8 + 24), dtype="<u8"), ends - starts
+        at, bits = starts >> 3, ((starts & 7) << 3).astype(np.uint64)
+        rest = np.uint64(63) - bits
+        a, b, c = words[at], words[at + 1], words[at + 2]
+        one = np.uint64(1)
+        low = np.minimum(size, SHORT)
+        keys = np.stack((((a >> bits) | ((b << one) << rest)) & _LOW[low], ((b >> bits) | ((c << one) << rest)) & _LOW[np.maximum(low - 8, 0)] | (low.astype(np.uint64) << np.uint64(56))))
+        longer = np.flatnonzero(size > SHORT)
+        keys[:, longer] = 0
+        out = self.found(keys)
+        out[longer] = [self.long.get(text[s:e], -1) for s, e in zip(starts[longer].tolist(), ends[longer].tolist(), strict=True)]
+        old = out[out >= 0]
+        self.used[old] = True
+        if len(old) == len(out):
+            return out
+        new = np.flatnonzero((out < 0) & (size <= SHORT))
+        new = new[np.lexsort(keys[:, new])]
+        first = np.concatenate(([True], (np.diff(keys[:, new]) != 0).any(axis=0)))[: len(new)]
+        group, lead = np.cumsum(first) - 1, new[first]
+        others: dict[bytes, int] = {}
+        new_long = longer[out[longer] < 0]
+        of_long = [others.setdefault(text[s:e], len(others)) for s, e in zip(starts[new_long].tolist(), ends[new_long].tolist(), strict=True)]
+        number = self.room(len(lead) + len(others), old)
+        out[out >= 0] = number[old]
+        units = [text[s:e] for s, e in zip(starts[lead].tolist(), ends[lead].tolist(), strict=True)] + list(others)
+        size0 = self.size
+        self.keys[:, size0 : size0 + len(lead)] = keys[:, lead]
+        self.keys[:, size0 + len(lead) : size0 + len(units)] = 0
+        self.learn([u[1:].decode() if u[:1] == b" " and u[1:2] != b"\x00" else MARK + u.decode() for u in units])
+        self.place(np.arange(size0, size0 + len(lead)))
+        self.long.update((u, size0 + len(lead) + k) for u, k in others.items() if len(u) <= KEPT)
+        out[new], out[new_long] = size0 + group, size0 + len(lead) + np.array(of_long, dtype=np.int64)
+        return out
 
-    def cut(self, text: str) -> list[str]:
-        """The text's units; the first one has no space before it."""
-        text = _MARKS.sub(" \x00\\g<0>", text)
-        return text.split(" ") if single_spaces(text) else _SPACE.split(text)
+    def windows(self, text: memoryview, cuts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Where units begin, their numbers of ids and their ids, window by window; texts begin at the cuts, which ascend from 0."""
+        at, size = 0, WINDOW
+        while at < len(text):
+            end = min(len(text), at + size)
+            some = bytes(text[at:end])
+            flags = _starts(some)
+            here = cuts[np.searchsorted(cuts, at) : np.searchsorted(cuts, end)]
+            flags[here - at] = 1
+            starts = np.flatnonzero(flags)
+            if end < len(text):  # the last unit may go on
+                starts, end = starts[:-1], at + int(starts[-1])
+                if not len(starts):
+                    size *= 2
+                    continue
+            e = self.entries(some, starts, np.append(starts[1:], end - at))
+            counts = self.count[e]
+            yield at + starts, counts, self.ids[_ranges(self.at[e], counts)]
+            at, size = end, WINDOW
+
+    def numbers(self, data: memoryview, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's begin, with the end of the last; text i is data[offsets[i] : offsets[i + 1]]."""
+        low, high = int(offsets[0]), int(offsets[-1])
+        data, offsets = data[low:high], offsets - low
+        text, whole = bytes(data), set()
+        for a in self.added:
+            at = text.find(a)
+            while at >= 0:
+                whole.add(i := int(np.searchsorted(offsets, at, side="right")) - 1)
+                at = text.find(a, int(offsets[i + 1]))
+        starts, counts, ids = [], [], []
+        done = 0
+        for i in [*sorted(whole), len(offsets) - 1]:
+            base = int(offsets[done])
+            for s, n, x in self.windows(data[base : int(offsets[i])], offsets[done:i] - base):
+                starts.append(base + s)
+                counts.append(n)
+                ids.append(x)
+            if i in whole:
+                ids += self.plain([text[int(offsets[i]) : int(offsets[i + 1])].decode()])
+                starts.append(offsets[i : i + 1])
+                counts.append(np.array([len(ids[-1])]))
+            done = i + 1
+        if not ids:
+            return np.empty(0, dtype="<u2"), np.zeros(len(offsets), dtype=np.int64)
+        return np.concatenate(ids), np.concatenate(([0], np.cumsum(np.concatenate(counts))))[np.searchsorted(np.concatenate(starts), offsets)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(texts), 256):
-            some = texts[at : at + 256]
-            whole = [MARK in t or any(a in t for a in self.added) for t in some]
-            split = [[t] if w else self.cut(t) for t, w in zip(some, whole, strict=True)]
-            words = set().union(*(s[1:] for s in split))
-            missing = words.difference(self.units)
-            if missing:
-                if len(self.units) + len(missing) > UNITS // 2:
-                    self.older, self.units, missing = self.units, {}, words
-                new = missing.difference(self.older)
-                kept = list(missing.difference(new))
-                self.units.update(zip(kept, map(self.older.__getitem__, kept), strict=True))
-                self.learn(list(new))
-            known = self.units.__getitem__
-            for s, head in zip(split, self.plain([s[0] for s in split]), strict=True):
-                out.append(head + b"".join(map(known, s[1:])))
-        return out
+        some = [t.encode() for t in texts]
+        ids, at = self.numbers(memoryview(b"".join(some)), np.cumsum([0, *map(len, some)]))
+        return [ids[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -263,20 +428,34 @@ class Shard:
         return out
 
 
+def _parts(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Rows from and to, a few at a time."""
+    at = 0
+    while at < len(offsets) - 1:
+        end = int(np.searchsorted(offsets, offsets[at] + PART_BYTES, side="right")) - 1
+        yield at, (at := min(max(end, at + 1), at + PART_ROWS, len(offsets) - 1))
+
+
 def _shard(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, lengths, nulls, enc = [], [], 0, None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             enc = enc or encoder(path)
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = enc.encode([t or "" for t in part.column(1).to_pylist()])
-                nulls += part.column(0).null_count
-                keys.append(part.column(0).fill_null(0).to_numpy(zero_copy_only=False))
-                lengths += [len(x) // 2 + 1 for x in ids]
-                yield pa.record_batch([pa.array(ids, pa.binary())], names=["value"])
+            nulls += batch.column(0).null_count
+            keys.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False))
+            texts = batch.column(1)
+            texts = (texts.fill_null("") if texts.null_count else texts).cast(pa.large_string())
+            offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            data = memoryview(texts.buffers()[2] or b"")
+            for a, b in _parts(offsets):
+                ids, at = enc.numbers(data, offsets[a : b + 1])
+                lengths.append(np.diff(at) + 1)
+                values = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(2 * at), pa.py_buffer(ids)])
+                yield pa.record_batch([values.cast(pa.binary())], names=["value"])
         if keys:
-            yield pa.record_batch([pa.array([index_bytes(np.concatenate(keys), np.array(lengths, dtype=np.int64), nulls)], pa.binary())], names=["value"])
+            yield pa.record_batch([pa.array([index_bytes(np.concatenate(keys), np.concatenate(lengths), nulls)], pa.binary())], names=["value"])
 
     return run
 
