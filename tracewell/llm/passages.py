@@ -76,13 +76,15 @@ def units(text: str) -> list[tuple[int, int, list[str]]]:
 
 _NAMES = ["doc_id", "pos", "span", "words", "covers", "hash", "check"]
 _TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+#: So many texts are Python's at once, and so many digests (and those of one text) before they go to Spark.
+_TEXTS, _ROWS = 256, 16_384
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of all pieces, and of lines of several pieces from their first on; covers is how many pieces a whole line has, 0 for a piece of one."""
-    for batch in batches:
-        cols: list[list] = [[] for _ in _NAMES]
-        for doc_id, row, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+    cols: list[list] = [[] for _ in _NAMES]
+    for part in (b.slice(at, _TEXTS) for b in batches for at in range(0, b.num_rows, _TEXTS)):
+        for doc_id, row, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
             found = units(text or "")
             rows = [(k, start, end, words, 0, " ".join(words)) for k, (start, end, words) in enumerate(found)]
             for k, n in lines(text or "", found):
@@ -96,10 +98,10 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 h = d >> 64
                 for c, v in zip(cols, (doc_id, row << 32 | k, start << 32 | end, len(words), covers, h - (h >> 63 << 64), d & 0x7FFFFFFF), strict=True):
                     c.append(v)
-            if len(cols[0]) >= 200_000:
+            if len(cols[0]) >= _ROWS:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], names=_NAMES)
                 cols = [[] for _ in _NAMES]
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], names=_NAMES)
+    yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], names=_NAMES)
 
 
 def _late(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,18 +136,20 @@ def repeats(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     they are never removed in favour of each other. A null or empty text has no units. Null ids rank first. Repeats inside
     one document are removed too. Other columns are ignored.
 
-    Digests have 95 bits. All are dealt out once, and only later occurrences come back, so that nothing is stored on the
-    way. pos packs row and unit, span packs start and end, to keep the shuffle narrow.
+    Digests have 95 bits. All are dealt out once, and only later occurrences come back, dealt out by text once more; the
+    rest is done there, and nothing is stored on the way. pos packs row and unit, span packs start and end, to keep the
+    shuffle narrow.
     """
     rows = docs.select(F.col("doc_id").cast("long"), text_key().alias("row"), "text")
     found = rows.mapInArrow(_digest, "doc_id long, pos long, span long, words int, covers int, hash long, check int")
     dealt = found.repartition("hash", "check").sortWithinPartitions("hash", "check", F.asc_nulls_first("doc_id"), "pos")
-    late = common.stored(dealt.mapInArrow(_late, "doc_id long, pos long, span long, words int, covers int, kept long"), "late-units")
+    late = dealt.mapInArrow(_late, "doc_id long, pos long, span long, words int, covers int, kept long")
+    unit = F.col("pos").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int")
+    late = late.select("doc_id", F.shiftright("pos", 32).alias("row"), unit.alias("unit"), "span", "words", "covers", "kept").repartition("doc_id", "row")
     # a whole line stands for each of its pieces, its words being counted at the first
     late = late.withColumn("k", F.explode(F.sequence(F.lit(0), F.greatest("covers", F.lit(1)) - 1)))
-    row, unit = F.shiftright("pos", 32), F.col("pos").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int") + F.col("k")
     start, end = F.shiftright("span", 32).cast("int"), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int")
-    late = late.select("doc_id", row.alias("row"), unit.alias("unit"), F.struct("covers", start.alias("start"), end.alias("end"), F.when(F.col("k") == 0, F.col("words")).otherwise(0).alias("words"), "kept").alias("x"))
+    late = late.select("doc_id", "row", (F.col("unit") + F.col("k")).alias("unit"), F.struct("covers", start.alias("start"), end.alias("end"), F.when(F.col("k") == 0, F.col("words")).otherwise(0).alias("words"), "kept").alias("x"))
     late = late.groupBy("doc_id", "row", "unit").agg(F.max("x").alias("x")).select("doc_id", "row", "unit", "x.*")
     order = Window.partitionBy("doc_id", "row").orderBy("unit")
     runs = late.withColumn("island", F.col("unit") - F.row_number().over(order))
